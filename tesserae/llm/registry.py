@@ -19,8 +19,30 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesserae.llm.packing import pack_documents
+
+    return pack_documents(_table(spark, sf_dir, "documents"))
+
+
+def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesserae.llm.substring_dedup import remove_repeats
+
+    return remove_repeats(_table(spark, sf_dir, "documents"), length=35).withColumnRenamed("id", "doc_id")
+
+
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesserae.llm.mixing import mix
+
+    mixed = mix(_table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), F.col("mix_taken").alias("taken"), "source", F.col("mix_times").alias("times"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mixing": op1_mixing,
+    "op6_substrings": op6_substrings,
     "op8_simhash": op8_simhash,
+    "op10_packing": op10_packing,
 }
 
 SQL: dict[str, str] = {}
