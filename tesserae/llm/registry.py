@@ -38,10 +38,19 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), F.col("mix_taken").alias("taken"), "source", F.col("mix_times").alias("times"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesserae.llm.quality_rules import judge
+
+    judged = judge(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), keep_text=False)
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    return judged.select("doc_id", *[F.col(f"q_{c}").alias(c) for c in counts], F.round("q_distance", 6).alias("distance"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op6_substrings": op6_substrings,
     "op8_simhash": op8_simhash,
+    "op9_quality": op9_quality,
     "op10_packing": op10_packing,
 }
 
