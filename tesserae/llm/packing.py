@@ -15,6 +15,7 @@ import re
 import zlib
 from collections import Counter
 from functools import lru_cache
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ VOCABULARY = "word_bpe_49k.json"
 CAPACITY = 2048
 END = (0).to_bytes(4, "little")
 #: Words kept with their ids in a Python worker, and bytes of text split at a time: memory stays bounded.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 500_000
 CHUNK_BYTES = 2_000_000
 #: A word whose letters and closing marks the vocabulary's pattern always takes apart.
 PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?:;#*$%&|]*)")
@@ -49,47 +50,57 @@ class WordTokenizer:
         self.ends = np.zeros(size, bool)
         for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
             self.ends[i] = token.endswith("</w>")
+        # two generations: when the young one is full it becomes the old one, and words still met move up again
         self.words: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {"": b""}
+        self.old: dict[bytes, bytes] = {}
+        self.tails: dict[str, bytes] = {"": b""}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn_letters(self, stems: list[str]) -> None:
+    def _letters(self, stems: list[str]) -> dict[str, bytes]:
         """Ids of runs of letters: each ends with a token that ends a word, so one call does many."""
-        ids = np.array(self.tokenizer.encode(" ".join(stems), add_special_tokens=False).ids, "<u4")
-        stops = np.flatnonzero(self.ends[ids]) + 1
-        if len(stops) != len(stems):
-            self.parts.update(zip(stems, self._encode(stems), strict=True))
-            return
-        raw, starts = ids.tobytes(), [0, *stops[:-1].tolist()]
-        self.parts.update((stem, raw[4 * a : 4 * b]) for stem, a, b in zip(stems, starts, stops.tolist(), strict=True))
-
-    def learn(self, missing: set[bytes]) -> None:
+        found: dict[str, bytes] = {}
+        for at in range(0, len(stems), 20_000):
+            some = stems[at : at + 20_000]
+            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            stops = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            if len(stops) != len(some):
+                found.update(zip(some, self._encode(some), strict=True))
+                continue
+            raw = ids.tobytes()
+            found.update((stem, raw[4 * a : 4 * b]) for stem, a, b in zip(some, [0, *stops[:-1]], stops, strict=True))
+        return found
+
+    def learn(self, missing: list[bytes]) -> None:
         plain, odd = [], []
+        match = PLAIN.fullmatch
         for word in missing:
+            if (ids := self.old.get(word)) is not None:
+                self.words[word] = ids
+                continue
             text = word.decode("utf-8", "replace")
-            if found := PLAIN.fullmatch(text):
+            if found := match(text):
                 plain.append((word, found[1].lower(), found[2]))
             else:
                 odd.append((word, text))
-        stems = list({stem for _, stem, _ in plain} - self.parts.keys())
-        for at in range(0, len(stems), 20_000):
-            self._learn_letters(stems[at : at + 20_000])
-        tails = list({tail for _, _, tail in plain} - self.parts.keys())
-        self.parts.update(zip(tails, self._encode(tails), strict=True))
-        self.words.update((word, self.parts[stem] + self.parts[tail]) for word, stem, tail in plain)
+        stems = self._letters(list({stem for _, stem, _ in plain}))
+        tails = list({tail for _, _, tail in plain} - self.tails.keys())
+        self.tails.update(zip(tails, self._encode(tails), strict=True))
+        self.words.update((word, stems[stem] + self.tails[tail]) for word, stem, tail in plain)
         self.words.update(zip([w for w, _ in odd], self._encode([t for _, t in odd]), strict=True))
+        if len(self.tails) > 10_000:
+            self.tails = {"": b""}
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian 32-bit ids of every text."""
-        split = [text.split() for text in texts]
-        if missing := set().union(*split) - self.words.keys():
-            if len(self.words) + len(missing) > CACHE_WORDS:
-                self.words.clear()
-                self.parts = {"": b""}
-                missing = set().union(*split)
-            self.learn(missing)
+        # ASCII letters may be lowered at once, but not in what could name a special token
+        split = [(text if b"<|" in text else text.lower()).split() for text in texts]
+        if len(self.words) > CACHE_WORDS:
+            self.old, self.words = self.words, {}
+        known = self.words.__contains__
+        missing = {word for words in split for word in filterfalse(known, words)}
+        self.learn(list(missing))
         ids = self.words.__getitem__
         return [b"".join(map(ids, words)) for words in split]
 
