@@ -46,12 +46,43 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *[F.col(f"q_{c}").alias(c) for c in counts], F.round("q_distance", 6).alias("distance"))
 
 
+def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesserae.llm.topk_search import top_k
+
+    return top_k(_table(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesserae.llm.toxicity import score
+
+    return score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
+    "op2_toxicity": op2_toxicity,
+    "op3_topk": op3_topk,
     "op6_substrings": op6_substrings,
     "op8_simhash": op8_simhash,
     "op9_quality": op9_quality,
     "op10_packing": op10_packing,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op3_topk": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), s AS (
+            SELECT q.vec_id AS query_id, d.vec_id,
+                   CAST(list_sum(list_transform(list_zip(q.e, d.e), lambda z: z[1] * z[2])) AS BIGINT) AS score
+            FROM v q JOIN v d ON q.vec_id <> d.vec_id
+            WHERE q.vec_id % 50 = 0
+        )
+        SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+        FROM s
+        QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5
+    """,
+}

@@ -1,14 +1,19 @@
 """Removing passages that repeat, found level by level.
 
-A passage is a window of ``length`` words whose sequence also starts elsewhere, in the same document or another. The
-first level looks at short windows of a quarter of that length. Of those, the one with the smallest hash in each long
-window stands for it (equal long windows choose alike, so none is lost), which leaves about one row in fifteen words.
-Windows that repeat at one length are extended to twice that length; what repeats there reaches the next level, until
-the full length, where 128-bit hashes decide. Documents without candidates drop out at each level.
-
-Null text has no words. Repeated rows count as separate documents, so all of their windows repeat. Documents shorter
-than ``length`` keep all words. Ids may be null or repeat; extra columns are ignored; an empty table gives an empty
-result. ``docs`` is read three times in the same order: pass a table of files, or ``staged(docs)``.
+A passage is a window of ``length`` words whose sequence also starts elsewhere, in the same document or another.
+
+1. The first level looks at short windows of a quarter of that length. In each long window the one with the smallest
+   hash stands for it (equal long windows choose alike, so none is lost): about one row in fifteen words. Only what
+   repeats is extended.
+2. The next windows are twice as long and still inside the long ones they stand for; again only what repeats is kept.
+3. At full length, long windows side by side that have the same stand-in form a run. Runs that are equal as a whole
+   repeat as a whole; only where runs of one stand-in differ are their single windows compared, each kind of run once.
+   Hashes have 128 bits here.
+
+Documents without candidates drop out at each level. Null text has no words. Repeated rows count as separate documents,
+so all of their windows repeat. Documents shorter than ``length`` keep all words. Ids may be null or repeat; extra
+columns are ignored; an empty table gives an empty result. ``docs`` is read three times in the same order: pass a table
+of files, or ``staged(docs)``.
 """
 
 from __future__ import annotations
@@ -88,59 +93,97 @@ def _arrays(uids: list[int], *columns: list[np.ndarray]) -> list[pa.Array]:
     return [*(pa.array(x.view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64)) for x in flat), pa.array(np.repeat(np.array(uids, np.int64), sizes))]
 
 
+def span_hashes(hashes: np.ndarray, first: np.ndarray, size: np.ndarray, which: int) -> np.ndarray:
+    """A 64-bit hash of ``size`` words from ``first``, for each."""
+    if which:
+        hashes = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    up, down = _POWERS[which].upto(len(hashes) + 1)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * up[:-1], dtype=np.uint64)])
+    mixed = (sums[first + size] - sums[first]) * down[first] + size.astype(np.uint64)
+    return (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+
+
+def candidate_runs(hashes: np.ndarray, length: int, ats: np.ndarray) -> list[np.ndarray]:
+    """(first window, last window, hash at the middle level, 128-bit hash) of the runs whose short windows start at ``ats``."""
+    sizes = levels(length)
+    middle = sizes[1] if len(sizes) > 2 else sizes[0]
+    stands = anchors(hashes, length)
+    # the middle window goes on from the short one where it fits, or else ends with it
+    behind = stands - np.arange(len(stands)) > length - middle
+    code = 2 * stands + behind
+    starts = np.flatnonzero(np.concatenate([np.ones(1, bool), code[1:] != code[:-1]]))
+    ends = np.concatenate([starts[1:], [len(code)]]) - 1
+    live = np.isin(stands[starts], ats)
+    starts, ends = starts[live], ends[live]
+    at = stands[starts] - np.where(behind[starts], middle - sizes[0], 0)
+    key = window_hashes(hashes, middle)[at]
+    return [starts, ends, key, *(span_hashes(hashes, starts, ends - starts + length, k) for k in (0, 1))]
+
+
 def repeated_windows(docs: DataFrame, text_col: str = "text", length: int = LENGTH, id_col: str = "doc_id") -> DataFrame:
-    """``(_uid, starts)``: rows of ``docs`` by number and where their repeated windows start."""
+    """``(_uid, ranges)``: rows of ``docs`` by number, and first and last starts of repeated windows."""
     numbered = _numbered(docs, id_col, text_col).select("_uid", "_text")
-    lengths = levels(length)
-    start_size = lengths[0]
-    middle = lengths[1] if len(lengths) > 2 else 0
+    short = levels(length)[0]
 
     def first(batches):
         for batch in batches:
-            uids, columns = [], [[], [], [], []]
+            uids, columns = [], [[], []]
             for uid, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 hashes = word_hashes(text.split())
                 at = np.unique(anchors(hashes, length))
-                if not len(at):
-                    continue
+                if len(at):
+                    uids.append(uid)
+                    columns[0].append(at)
+                    columns[1].append(window_hashes(hashes, short)[at])
+            at, h, uid = _arrays(uids, *columns)
+            yield pa.RecordBatch.from_arrays([uid, at, h], names=["_uid", "at", "h"])
+
+    live = staged(numbered.mapInArrow(first, "_uid long, at long, h long"), "windows")
+    again = live.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    wanted = live.join(again, "h", "left_semi").groupBy("_uid").agg(F.collect_list("at").alias("ats"))
+
+    def full(batches):
+        for batch in batches:
+            uids, columns = [], [[], [], [], [], []]
+            for uid, text, ats in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                found = candidate_runs(word_hashes(text.split()), length, np.array(ats, np.int64))
                 uids.append(uid)
-                twice = window_hashes(hashes, middle or length)
-                ahead, behind = (twice[np.clip(x, 0, len(twice) - 1)] for x in (at, at - start_size))
-                for column, values in zip(columns, (at, window_hashes(hashes, start_size)[at], ahead, behind), strict=True):
+                for column, values in zip(columns, found, strict=True):
                     column.append(values)
-            at, h, ahead, behind, uid = _arrays(uids, *columns)
-            yield pa.RecordBatch.from_arrays([uid, at, h, ahead, behind], names=["_uid", "at", "h", "ahead", "behind"])
+            *made, uid = _arrays(uids, *columns)
+            yield pa.RecordBatch.from_arrays([uid, *made], names=["_uid", "i", "j", "key", "a", "b"])
+
+    runs = numbered.join(wanted, "_uid").select("_uid", "_text", "ats").mapInArrow(full, "_uid long, i long, j long, key long, a long, b long")
+    runs = staged(runs, "runs")
+    kinds = staged(runs.groupBy("key", "a", "b").agg(F.count("*").alias("n"), F.min(F.struct("_uid", "i", "j")).alias("one")), "kinds")
+    whole = runs.join(kinds.where("n > 1").select("a", "b"), ["a", "b"], "left_semi").select("_uid", "i", "j")
+    mixed = kinds.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key")
+    shown = kinds.join(mixed, "key", "left_semi")
+    # one run of each kind lends its windows; a window repeats if two kinds have it, or if its own run has it twice
+    singles = staged(_windows(numbered, shown, length), "singles")
+    twice = singles.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1").select("a", "b")
+    single = singles.where("single").join(twice, ["a", "b"], "left_semi").select("_uid", F.col("start").alias("i"), F.col("start").alias("j"))
+    return whole.union(single).groupBy("_uid").agg(F.collect_list(F.struct("i", "j")).alias("ranges"))
+
+
+def _windows(numbered: DataFrame, shown: DataFrame, length: int) -> DataFrame:
+    """``(_uid, start, a, b, single)``: the windows of the runs shown; single: no other run equals this one."""
+    wanted = shown.select("one._uid", F.struct("one.i", "one.j", (F.col("n") == 1).alias("single")).alias("r")).groupBy("_uid").agg(F.collect_list("r").alias("rs"))
 
-    live = staged(numbered.mapInArrow(first, "_uid long, at long, h long, ahead long, behind long"), "windows")
-    again = live.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    # twice the length stays inside the long window if it goes on from the short one, or else if it ends with it
-    sides = F.explode(F.array(F.struct((F.col("at") * 2).alias("at"), F.col("ahead").alias("h")), F.struct((F.col("at") * 2 + 1).alias("at"), F.col("behind").alias("h"))))
-    live = live.join(again, "h", "left_semi").select("_uid", sides.alias("s")).select("_uid", "s.at", "s.h")
-    if middle:
-        live = staged(live, "windows")
-        again = live.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-        live = live.join(again, "h", "left_semi")
-    wanted = live.groupBy("_uid").agg(F.collect_list("at").alias("ats"))
-    ahead_fits = length - (middle or start_size)
-
-    def last(batches):
+    def rows(batches):
         for batch in batches:
-            uids, columns = [], [[], [], []]
-            for uid, text, ats in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            uids, columns = [], [[], [], [], []]
+            for uid, text, rs in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 hashes = word_hashes(text.split())
-                stands = anchors(hashes, length)
-                side = stands - np.arange(len(stands)) > ahead_fits
-                start = np.flatnonzero(np.isin(2 * stands + side, np.array(ats, np.int64)))
+                start = np.concatenate([np.arange(r["i"], r["j"] + 1) for r in rs])
+                single = np.concatenate([np.full(r["j"] - r["i"] + 1, int(r["single"])) for r in rs])
                 uids.append(uid)
-                for column, values in zip(columns, (start, window_hashes(hashes, length)[start], window_hashes(hashes, length, 1)[start]), strict=True):
+                for column, values in zip(columns, (start, window_hashes(hashes, length)[start], window_hashes(hashes, length, 1)[start], single), strict=True):
                     column.append(values)
-            start, a, b, uid = _arrays(uids, *columns)
-            yield pa.RecordBatch.from_arrays([uid, start, a, b], names=["_uid", "start", "a", "b"])
+            start, a, b, single, uid = _arrays(uids, *columns)
+            yield pa.RecordBatch.from_arrays([uid, start, a, b, single.cast(pa.bool_())], names=["_uid", "start", "a", "b", "single"])
 
-    full = numbered.join(wanted, "_uid").select("_uid", "_text", "ats").mapInArrow(last, "_uid long, start long, a long, b long")
-    full = staged(full, "full")
-    again = full.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1").select("a", "b")
-    return full.join(again, ["a", "b"], "left_semi").groupBy("_uid").agg(F.collect_list("start").alias("starts"))
+    return numbered.join(wanted, "_uid").select("_uid", "_text", "rs").mapInArrow(rows, "_uid long, start long, a long, b long, single boolean")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, with_text: bool = False) -> DataFrame:
@@ -152,14 +195,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def rows(batches):
         for batch in batches:
             total, gone, digest, left = [], [], [], []
-            for text, starts in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for text, ranges in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 words = text.split()
                 n = len(words)
                 total.append(n)
-                if starts:
+                if ranges:
                     steps = np.zeros(n + 1, np.int64)
-                    np.add.at(steps, starts, 1)
-                    np.add.at(steps, np.array(starts) + length, -1)
+                    np.add.at(steps, [r["i"] for r in ranges], 1)
+                    np.add.at(steps, [r["j"] + length for r in ranges], -1)
                     keep = steps.cumsum()[:n] == 0
                     words = list(compress(words, keep.tolist()))
                 gone.append(n - len(words))
@@ -173,5 +216,5 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 columns, names = [*columns, pa.array(left, pa.string())], [*names, "kept"]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    joined = _numbered(docs, id_col, text_col).join(staged(found, "starts"), "_uid", "left")
-    return joined.select("_id", "_text", "starts").mapInArrow(rows, schema)
+    joined = _numbered(docs, id_col, text_col).join(staged(found, "ranges"), "_uid", "left")
+    return joined.select("_id", "_text", "ranges").mapInArrow(rows, schema)
