@@ -21,10 +21,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from xxhash import xxh64_intdigest
+
 from tesserae.llm.common import staged, utf8
 
 FIT_ROWS = 20_000
 MAX_TERMS = 400
+CANDIDATES = 4000
+COVERS = 3
 MIN_PREFIX, MAX_PREFIX = 4, 14
 #: Evidence (in nats, against the base rate) that a beginning needs to become a term.
 EVIDENCE = 12.0
@@ -168,6 +172,20 @@ def beginnings(words: set[str]) -> set[str]:
     return {w[:n] for w in words for n in range(MIN_PREFIX, min(len(w), MAX_PREFIX) + 1)}
 
 
+def _distinct(sample: DataFrame) -> DataFrame:
+    """One text of each run of copies: texts with the same smallest hash of three words count once, toxic if one is."""
+
+    def rows(batches):
+        for batch in batches:
+            keys = []
+            for text in batch.column(0).to_pylist():
+                w = text.lower().split()
+                keys.append(min(map(xxh64_intdigest, map(b" ".join, zip(w, w[1:], w[2:], strict=False))), default=xxh64_intdigest(b" ".join(w))) >> 1)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *batch.columns], names=["key", "text", "toxic"])
+
+    return sample.mapInArrow(rows, "key long, text binary, toxic boolean").groupBy("key", "toxic").agg(F.min("text").alias("text")).select("text", "toxic")
+
+
 def prefix_counts(sample: DataFrame) -> DataFrame:
     """``(prefix, pos, neg)``: documents of ``sample(text, toxic)`` that have a word so beginning."""
 
@@ -188,17 +206,45 @@ def prefix_counts(sample: DataFrame) -> DataFrame:
     return made.groupBy("prefix").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
 
 
-def choose_terms(counts: list[tuple[str, int, int]]) -> list[str]:
-    """Of beginnings with enough evidence, the shortest, each made longer while it keeps nearly all of its documents."""
-    pos = {prefix: p for prefix, p, _ in counts}
-    terms = []
-    for prefix in sorted(pos, key=lambda x: (len(x), x)):
-        if any(prefix[:n] in pos for n in range(MIN_PREFIX, len(prefix))):
-            continue
-        while longer := [x for x in pos if len(x) == len(prefix) + 1 and x.startswith(prefix) and pos[x] >= 0.9 * pos[prefix]]:
-            prefix = max(longer, key=lambda x: (pos[x], x))
-        terms.append(prefix)
-    return terms
+def choose_terms(candidates: list[tuple[str, int]], toxic: list[list[int]], total: int) -> list[str]:
+    """Beginnings that cover the toxic texts: again and again the one with most evidence on texts not yet covered
+    ``COVERS`` times.
+
+    ``candidates``: (beginning, clean texts that have it); ``toxic``: for each toxic text, the candidates it has. Texts
+    that share more than their terms so lend nothing to chance words once true terms cover them. Of nested beginnings
+    with about the same evidence the longest is taken. It ends where no beginning has enough.
+    """
+    holders: list[set[int]] = [set() for _ in candidates]
+    for text, held in enumerate(toxic):
+        for k in held:
+            holders[k].add(text)
+    names = {prefix: k for k, (prefix, _) in enumerate(candidates)}
+    open_ = set(range(len(toxic)))
+    left = [COVERS] * len(toxic)
+    chosen: list[str] = []
+    while open_ and len(chosen) < MAX_TERMS:
+        rate = len(open_) / total
+
+        def evidence(k: int) -> float:
+            gain, against = len(holders[k] & open_), candidates[k][1]  # noqa: B023
+            if not gain:
+                return 0.0
+            share = min(gain / (gain + against), 1 - 1e-9)
+            return gain * math.log(share / rate) + against * math.log((1 - share) / (1 - rate)) if share > rate else 0.0  # noqa: B023
+
+        best = max(range(len(candidates)), key=lambda k: (evidence(k), candidates[k][0]), default=None)
+        if best is None or (most := evidence(best)) < EVIDENCE:
+            break
+        prefix = candidates[best][0]
+        while longer := [x for x in names if len(x) == len(prefix) + 1 and x.startswith(prefix) and evidence(names[x]) >= 0.95 * most]:
+            prefix = max(longer, key=lambda x: (evidence(names[x]), x))
+        chosen.append(prefix)
+        for text in holders[names[prefix]]:
+            left[text] -= 1
+        open_ = {text for text in open_ if left[text] > 0}
+        gone = {k for x, k in names.items() if x.startswith(prefix) or prefix.startswith(x)}
+        holders = [set() if k in gone else h & open_ for k, h in enumerate(holders)]
+    return chosen
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 50) -> np.ndarray:
@@ -225,7 +271,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
     chosen = spark.createDataFrame([(r["_id"], r["toxic"]) for r in rows], f"_id {labels.schema[id_col].dataType.simpleString()}, toxic boolean")
     # fit_rows pairs at most, so their size is bounded
     sample = docs.select(F.col(id_col).alias("_id"), utf8(text_col).alias("text")).join(F.broadcast(chosen), "_id").select("text", "toxic")
-    sample = staged(sample, "labelled")
+    sample = staged(_distinct(sample), "labelled")
     total, toxic = sample.agg(F.count("*"), F.count_if("toxic")).first()
     if toxic in (0, total):
         return [], np.array([30.0 if toxic else -30.0])
@@ -233,9 +279,17 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
     n = F.col("pos") + F.col("neg")
     share = F.least(F.col("pos") / n, F.lit(1 - 1e-9))
     evidence = F.col("pos") * F.log(F.greatest(share, F.lit(1e-9)) / rate) + F.col("neg") * F.log((1 - share) / (1 - rate))
-    strong = prefix_counts(sample).where((F.col("pos") > rate * n) & (share > 0.6)).withColumn("evidence", evidence).where(F.col("evidence") >= EVIDENCE)
-    best = strong.orderBy(F.desc("evidence"), "prefix").limit(20 * MAX_TERMS).collect()
-    terms = choose_terms([(r["prefix"], r["pos"], r["neg"]) for r in best])[:MAX_TERMS]
+    strong = prefix_counts(sample).where((F.col("pos") > rate * n) & (share > 0.6) & (F.col("pos") > 2)).withColumn("evidence", evidence)
+    best = strong.orderBy(F.desc("evidence"), "prefix").limit(CANDIDATES).collect()
+    number = {r["prefix"]: k for k, r in enumerate(best)}
+
+    def holds(batches):
+        for batch in batches:
+            found = [[number[x] for x in beginnings({w.strip(EDGES) for w in t.decode("utf-8", "replace").lower().split()}) if x in number] for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32()))], names=["held"])
+
+    held = [r["held"] for r in sample.where("toxic").select("text").mapInArrow(holds, "held array<int>").collect()]  # fit_rows rows at most
+    terms = choose_terms([(r["prefix"], r["neg"]) for r in best], held, total)
 
     def read(batches):
         reader = Reader(terms)
