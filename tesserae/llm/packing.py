@@ -42,10 +42,14 @@ class WordTokenizer:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import public_tokenizers
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         path = vocabulary if os.path.sep in vocabulary else public_tokenizers.path(vocabulary)
         self.tokenizer = Tokenizer.from_file(path)
+        # for runs of lower-case letters the pattern and the normalizer do nothing that white space does not
+        self.bare = Tokenizer.from_file(path)
+        self.bare.normalizer = normalizers.Sequence([])
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         size = max(self.tokenizer.get_vocab(with_added_tokens=True).values()) + 1
         self.ends = np.zeros(size, bool)
         for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
@@ -61,9 +65,9 @@ class WordTokenizer:
     def _letters(self, stems: list[str]) -> dict[str, bytes]:
         """Ids of runs of letters: each ends with a token that ends a word, so one call does many."""
         found: dict[str, bytes] = {}
-        for at in range(0, len(stems), 20_000):
-            some = stems[at : at + 20_000]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+        for at in range(0, len(stems), 2000):
+            some = stems[at : at + 2000]
+            ids = np.array(self.bare.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
             stops = (np.flatnonzero(self.ends[ids]) + 1).tolist()
             if len(stops) != len(some):
                 found.update(zip(some, self._encode(some), strict=True))
@@ -74,6 +78,7 @@ class WordTokenizer:
 
     def learn(self, missing: list[bytes]) -> None:
         plain, odd = [], []
+        stems: dict[str, bytes | None] = {}
         match = PLAIN.fullmatch
         for word in missing:
             if (ids := self.old.get(word)) is not None:
@@ -81,10 +86,14 @@ class WordTokenizer:
                 continue
             text = word.decode("utf-8", "replace")
             if found := match(text):
-                plain.append((word, found[1].lower(), found[2]))
+                stem = found[1].lower()
+                plain.append((word, stem, found[2]))
+                if stem not in stems:
+                    key = stem.encode()
+                    stems[stem] = self.words.get(key) or self.old.get(key)
             else:
                 odd.append((word, text))
-        stems = self._letters(list({stem for _, stem, _ in plain}))
+        stems |= self._letters([stem for stem, ids in stems.items() if ids is None])
         tails = list({tail for _, _, tail in plain} - self.tails.keys())
         self.tails.update(zip(tails, self._encode(tails), strict=True))
         self.words.update((word, stems[stem] + self.tails[tail]) for word, stem, tail in plain)
