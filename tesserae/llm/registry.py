@@ -58,11 +58,19 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).withColumnRenamed("id", "doc_id")
 
 
+def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesserae.llm.line_dedup import dedup_lines
+
+    done = dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", F.col("line_count").alias("n_lines"), F.size("line_removed").alias("n_removed"), F.concat_ws(",", F.col("line_removed").cast("array<string>")).alias("removed"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_toxicity": op2_toxicity,
     "op3_topk": op3_topk,
     "op6_substrings": op6_substrings,
+    "op7_lines": op7_lines,
     "op8_simhash": op8_simhash,
     "op9_quality": op9_quality,
     "op10_packing": op10_packing,
