@@ -145,7 +145,7 @@ def links(distinct: DataFrame, distance: int, pairwise: int = PAIRWISE, sample_s
     keys = [(k, _signed(int(_mask(bits))), flip) for k, (bits, t) in enumerate(chosen) for flip in _flips(bits, t)]
     probe = F.array(*[F.struct(F.lit(k).alias("part"), F.col("fp").bitwiseAND(F.lit(m)).bitwiseXOR(F.lit(x)).alias("key")) for k, m, x in keys])
     probes = distinct.select("fp", F.explode(probe).alias("p")).select("p.part", "p.key", "fp")
-    shared = probes.groupBy("part", "key").agg(F.count("*").alias("n")).where("n > 1")
+    shared = staged(probes.groupBy("part", "key").agg(F.count("*").alias("n")).where("n > 1"), "shared")
     met = staged(probes.join(shared, ["part", "key"]), "met")
     small = met.where(F.col("n") <= pairwise)
     pairs = small.select("part", "key", F.col("fp").alias("u")).join(small.select("part", "key", F.col("fp").alias("v")), ["part", "key"])

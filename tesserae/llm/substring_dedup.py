@@ -139,7 +139,8 @@ def repeated_windows(docs: DataFrame, text_col: str = "text", length: int = LENG
             yield pa.RecordBatch.from_arrays([uid, at, h], names=["_uid", "at", "h"])
 
     live = staged(numbered.mapInArrow(first, "_uid long, at long, h long"), "windows")
-    again = live.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    # written, so that the join has two plain exchanges and a hash that very many windows share can be split
+    again = staged(live.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "again")
     wanted = live.join(again, "h", "left_semi").groupBy("_uid").agg(F.collect_list("at").alias("ats"))
 
     def full(batches):
