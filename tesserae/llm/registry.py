@@ -65,18 +65,67 @@ def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", F.col("line_count").alias("n_lines"), F.size("line_removed").alias("n_removed"), F.concat_ws(",", F.col("line_removed").cast("array<string>")).alias("removed"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
+def op5_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesserae.llm.lm_scoring import score
+
+    return score(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesserae.llm.chat_format import conversation_calls, link_calls, schema_table
+
+    calls, results = conversation_calls(_table(spark, sf_dir, "conversations"))
+    linked = link_calls(calls, results, schema_table(spark, {"answer": {"question": "string", "turn": "integer"}}))
+    return linked.select(F.col("conv").alias("conv_id"), F.col("seq").cast("long").alias("seq"), "call_id", "status", F.col("n_results").cast("long").alias("n_results"), F.size("errors").cast("long").alias("n_errors"), "json")
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_toxicity": op2_toxicity,
     "op3_topk": op3_topk,
+    "op4_chat": op4_chat,
+    "op5_likelihood": op5_likelihood,
     "op6_substrings": op6_substrings,
     "op7_lines": op7_lines,
     "op8_simhash": op8_simhash,
     "op9_quality": op9_quality,
     "op10_packing": op10_packing,
+    "pipeline": pipeline,
 }
 
 SQL: dict[str, str] = {
+    "op4_chat": """
+        WITH t AS (
+            SELECT *, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS)
+                       OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING) AS asked
+            FROM conversations
+        ), calls AS (
+            SELECT conv_id, turn, 'call-' || conv_id || '-' || turn AS call_id, text FROM t WHERE role = 'user'
+        ), results AS (
+            SELECT conv_id, CASE WHEN asked IS NULL THEN 'none-' || conv_id || '-' || turn ELSE 'call-' || conv_id || '-' || asked END AS call_id,
+                   min(turn) AS turn, count(*) AS n, min_by(text, turn) AS content
+            FROM t WHERE role = 'assistant' GROUP BY 1, 2
+        ), j AS (
+            SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.call_id, r.call_id) AS call_id, coalesce(c.turn, r.turn) AS pos,
+                   CASE WHEN c.call_id IS NULL THEN 'orphan' WHEN r.n IS NULL THEN 'open' ELSE 'linked' END AS status,
+                   coalesce(r.n, 0) AS n_results,
+                   '{"arguments":' || CASE WHEN c.call_id IS NULL THEN 'null'
+                        ELSE '{"question":' || CAST(to_json(c.text) AS VARCHAR) || ',"turn":' || c.turn || '}' END
+                   || ',"id":' || CAST(to_json(coalesce(c.call_id, r.call_id)) AS VARCHAR)
+                   || ',"name":' || CASE WHEN c.call_id IS NULL THEN 'null' ELSE '"answer"' END
+                   || ',"result":' || coalesce(CAST(to_json(r.content) AS VARCHAR), 'null') || '}' AS json
+            FROM calls c FULL JOIN results r ON c.conv_id = r.conv_id AND c.call_id = r.call_id
+        )
+        SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY status = 'orphan', pos, call_id) AS seq, call_id, status,
+               n_results, CAST(0 AS BIGINT) AS n_errors, json
+        FROM j
+    """,
     "op3_topk": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
