@@ -1,15 +1,27 @@
-"""Every query of the engine with the DuckDB SQL that says the same."""
+"""Every query of the engine with the DuckDB SQL that says the same.
+
+Queries run over whole tables. Numbers that come from sines, roots or means are rounded to six digits on both sides.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tesserae.queries import aggregation, deltas, filters, graphs, ordered, storage
+
+Query = Callable[[SparkSession, str], DataFrame]
+_PARTS = (filters, ordered, aggregation, deltas, graphs, storage)
+
 
-def queries():
-    return {}
+def queries() -> dict[str, Query]:
+    return {name: q for part in _PARTS for name, (q, _) in part.QUERIES.items()}
 
 
-def oracle_sql():
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for part in _PARTS for name, (_, sql) in part.QUERIES.items() if sql}
 
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graphs.QUERIES["g07_knowledge_traversal"][0](spark, sf_dir)

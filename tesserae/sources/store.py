@@ -65,7 +65,7 @@ def stream_rows(df: DataFrame, size: int = 100) -> Iterator[list]:
 def upsert(versions: DataFrame, changes: DataFrame, key: str = "node_id", version: str = "version") -> DataFrame:
     """``versions`` with new ones appended; a change is one more than the latest of its key."""
     last = versions.groupBy(key).agg(F.max(version).alias("_last"))
-    w = Window.partitionBy(key).orderBy(*[c for c in changes.columns if c not in (key, "deleted")])
+    w = Window.partitionBy(key).orderBy(*[c for c in changes.columns if c != "deleted"])
     numbered = changes.join(last, key, "left").withColumn(version, (F.coalesce("_last", F.lit(0)) + F.row_number().over(w)).cast(versions.schema[version].dataType)).drop("_last")
     return versions.unionByName(numbered, allowMissingColumns=True)
 
