@@ -17,9 +17,9 @@ MAP = "map<string,string>"
 def fold_states(deltas: DataFrame, key: str, order: list[str], content: str = "content", until: Column | None = None) -> DataFrame:
     """``(key, content)``: the merge of all deltas up to ``until``; pairs are aggregated one by one."""
     rows = deltas if until is None else deltas.where(until)
-    pairs = rows.select(key, *order, F.explode(content).alias("k", "v"))
-    last = pairs.groupBy(key, "k").agg(F.max_by("v", F.struct(*order)).alias("v"))
-    return last.groupBy(key).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("k", "v")))).alias("content"))
+    pairs = rows.select(key, *order, F.explode(content).alias("_name", "_value"))
+    last = pairs.groupBy(key, "_name").agg(F.max_by("_value", F.struct(*order)).alias("_value"))
+    return last.groupBy(key).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("_name", "_value")))).alias("content"))
 
 
 def running_states(deltas: DataFrame, key: str, order: list[str], names: list[str], content: str = "content") -> DataFrame:
@@ -87,14 +87,14 @@ def states_at_each(deltas: DataFrame, moments: DataFrame, key: str, order: list[
     """``(key, moment, content)`` at several moments in one pass: a delta belongs to the first moment not before it."""
     points = sorted(r[0] for r in moments.collect())  # stated by the caller
     first = F.element_at(F.filter(F.array(*[F.lit(float(p)) for p in points]), lambda p: p >= F.col(when)), 1)
-    pairs = deltas.where(F.col(when) <= points[-1]).withColumn("moment", first).select(key, "moment", *order, F.explode("content").alias("k", "v"))
-    last = pairs.groupBy(key, "k", "moment").agg(F.max_by("v", F.struct(*order)).alias("v"))
-    spread = last.groupBy(key, "k").agg(F.map_from_entries(F.collect_list(F.struct("moment", "v"))).alias("by"))
+    pairs = deltas.where(F.col(when) <= points[-1]).withColumn("moment", first).select(key, "moment", *order, F.explode("content").alias("_name", "_value"))
+    last = pairs.groupBy(key, "_name", "moment").agg(F.max_by("_value", F.struct(*order)).alias("_value"))
+    spread = last.groupBy(key, "_name").agg(F.map_from_entries(F.collect_list(F.struct("moment", "_value"))).alias("by"))
     w = F.explode(F.array(*[F.lit(float(p)) for p in points]))
-    filled = spread.select(key, "k", "by", w.alias("moment"))
-    upto = Window.partitionBy(key, "k").orderBy("moment").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    filled = filled.withColumn("v", F.last(F.col("by").getItem(F.col("moment")), ignorenulls=True).over(upto)).where("v is not null")
-    return filled.groupBy(key, "moment").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("k", "v")))).alias("content"))
+    filled = spread.select(key, "_name", "by", w.alias("moment"))
+    upto = Window.partitionBy(key, "_name").orderBy("moment").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    filled = filled.withColumn("_value", F.last(F.col("by").getItem(F.col("moment")), ignorenulls=True).over(upto)).where("_value is not null")
+    return filled.groupBy(key, "moment").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("_name", "_value")))).alias("content"))
 
 
 def compare(a: Column, b: Column) -> dict[str, Column]:
