@@ -30,14 +30,15 @@ VOCABULARY = CLASSES * CLASSES
 BUCKETS = 256
 SIZE = 32
 SIDE = 4
-MASK_RATE = 0.04
+MASK_RATE = 0.03
 ROUNDS = 2
-RATE = 0.15
-BATCH = 2048
+RATE = 0.2
+BATCH = 4096
 SEED = 29
 #: Models averaged in one task, and words counted by a worker before it passes counts on.
 FAN_IN = 16
 COUNTED = 200_000
+KEPT_WORDS = 300_000
 
 
 def word_counts(docs: DataFrame, text_col: str) -> DataFrame:
@@ -92,13 +93,16 @@ class Network:
     def log_likelihood(self, h: np.ndarray, words: np.ndarray) -> np.ndarray:
         """log p of each word given its hidden row."""
         cls, inside = words // CLASSES, words % CLASSES
-        out = _log_softmax_at(h @ self.c + self.cb, cls)
+        # hidden values lie within 1, so weights bound the logits; below that bound no maximum need be taken out
+        if not hasattr(self, "calm"):
+            self.calm = bool(max((np.abs(self.c).sum(axis=0) + np.abs(self.cb)).max(), (np.abs(self.o).sum(axis=1) + np.abs(self.ob)).max()) < 80)
+        out = _log_softmax_at(h @ self.c + self.cb, cls, self.calm)
         order = np.argsort(cls, kind="stable")
         stops = np.searchsorted(cls[order], np.arange(CLASSES + 1))
         for k in range(CLASSES):
             rows = order[stops[k] : stops[k + 1]]
             if len(rows):
-                out[rows] += _log_softmax_at(h[rows] @ self.o[k] + self.ob[k], inside[rows])
+                out[rows] += _log_softmax_at(h[rows] @ self.o[k] + self.ob[k], inside[rows], self.calm)
         return out
 
     def step(self, around: np.ndarray, words: np.ndarray) -> None:
@@ -131,9 +135,10 @@ class Network:
         for name, grad in grads.items():
             self._move(name, grad, slice(None))
         spread = np.hstack([np.repeat(dx[:, None, :SIZE], SIDE, axis=1), np.repeat(dx[:, None, SIZE:], SIDE, axis=1)]) * share[:, :, None]
-        ids, where = np.unique(around, return_inverse=True)
-        total = np.zeros((len(ids), SIZE), np.float32)
-        np.add.at(total, where.reshape(-1), spread.reshape(-1, SIZE))
+        order = np.argsort(around, axis=None, kind="stable")
+        flat = around.reshape(-1)[order]
+        first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
+        ids, total = flat[first], np.add.reduceat(spread.reshape(-1, SIZE)[order], first, axis=0)
         self.squares["e"][ids] += (total**2).mean(axis=1, keepdims=True)
         self.e[ids] -= RATE * total / np.sqrt(self.squares["e"][ids])
         self.e[VOCABULARY] = 0
@@ -149,19 +154,25 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return x / x.sum(axis=1, keepdims=True)
 
 
-def _log_softmax_at(x: np.ndarray, at: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return (x[np.arange(len(x)), at] - np.log(np.exp(x).sum(axis=1))).astype(np.float64)
+def _log_softmax_at(x: np.ndarray, at: np.ndarray, calm: bool = False) -> np.ndarray:
+    if not calm:
+        x = x - x.max(axis=1, keepdims=True)
+    own = x[np.arange(len(x)), at]
+    np.exp(x, out=x)
+    return (own - np.log(x @ np.ones(x.shape[1], x.dtype))).astype(np.float64)
 
 
 class Words(dict):
-    """Ids of words; those that are not in the vocabulary fall into buckets by their hash."""
+    """Ids of words; those that are not in the vocabulary fall into buckets by their hash, kept up to a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        return VOCABULARY - BUCKETS + crc32(word) % BUCKETS
+        found = VOCABULARY - BUCKETS + crc32(word) % BUCKETS
+        if len(self) < KEPT_WORDS:
+            self[word] = found
+        return found
 
 
-def _train(docs: DataFrame, text_col: str, ids: dict[bytes, int], flat: np.ndarray, round_: int) -> np.ndarray:
+def _train(docs: DataFrame, text_col: str, ids: dict[bytes, int], flat: np.ndarray, round_: int, mask_rate: float, batch_size: int) -> np.ndarray:
     """The average of what all partitions make of the common weights."""
     spark = docs.sparkSession
     common = spark.sparkContext.broadcast((ids, flat))  # a fixed number of words and weights
@@ -186,12 +197,12 @@ def _train(docs: DataFrame, text_col: str, ids: dict[bytes, int], flat: np.ndarr
             for text in batch.column(0).to_pylist():
                 words = text.lower().split()
                 n = len(words)
-                for i in np.flatnonzero(rng.random(n) < MASK_RATE).tolist():
+                for i in np.flatnonzero(rng.random(n) < mask_rate).tolist():
                     left = [known[w] for w in words[max(0, i - SIDE) : i]]
                     right = [known[w] for w in words[i + 1 : i + 1 + SIDE]]
                     around.append([VOCABULARY] * (SIDE - len(left)) + left + right + [VOCABULARY] * (SIDE - len(right)))
                     middle.append(known[words[i]])
-                    if len(middle) == BATCH:
+                    if len(middle) == batch_size:
                         learn()
         if middle:
             learn()
@@ -210,7 +221,7 @@ def _train(docs: DataFrame, text_col: str, ids: dict[bytes, int], flat: np.ndarr
     return flat if last.empty else np.frombuffer(average(last)["model"][0], np.float32)
 
 
-def fit(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS) -> tuple[dict[bytes, int], np.ndarray]:
+def fit(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS, mask_rate: float = MASK_RATE, batch_size: int = BATCH) -> tuple[dict[bytes, int], np.ndarray]:
     """Vocabulary and weights from the whole corpus."""
     counts = staged(word_counts(docs, text_col), "counts")
     top = counts.orderBy(F.desc("n"), "word").limit(VOCABULARY - BUCKETS).collect()
@@ -223,7 +234,7 @@ def fit(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS) -> tuple[
     net.start_from(seen)
     flat = net.flat
     for k in range(rounds):
-        flat = _train(docs, text_col, ids, flat, k)
+        flat = _train(docs, text_col, ids, flat, k, mask_rate, batch_size)
     return ids, flat
 
 
@@ -241,23 +252,25 @@ def document_scores(net: Network, ids: Words, texts: list[bytes]) -> tuple[list[
     if not len(at):
         return sizes, [0.0] * len(texts)
     rows, here = net.e[line], (line != VOCABULARY).astype(np.float32)
-    left, right = np.zeros((len(at), SIZE), np.float32), np.zeros((len(at), SIZE), np.float32)
-    n_left, n_right = np.zeros(len(at), np.float32), np.zeros(len(at), np.float32)
-    for k in range(1, SIDE + 1):
-        left += rows[at - k]
-        right += rows[at + k]
-        n_left += here[at - k]
-        n_right += here[at + k]
-    _, h = net.hidden(left / np.maximum(1, n_left)[:, None], right / np.maximum(1, n_right)[:, None])
+    n = len(line) - 2 * SIDE  # texts are parted by pads, so every word has all of its places on either side
+    words = here[SIDE : SIDE + n] > 0
+    sides = []
+    for step in (-1, 1):
+        total, there = np.zeros((n, SIZE), np.float32), np.zeros(n, np.float32)
+        for k in range(1, SIDE + 1):
+            total += rows[SIDE + step * k : SIDE + step * k + n]
+            there += here[SIDE + step * k : SIDE + step * k + n]
+        sides.append(total[words] / np.maximum(1, there[words])[:, None])
+    _, h = net.hidden(*sides)
     each = net.log_likelihood(h, line[at])
     sums = np.concatenate([[0.0], each.cumsum()])
     ends = np.cumsum(sizes)
     return sizes, (sums[ends] - sums[ends - np.array(sizes)]).tolist()
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, mask_rate: float = MASK_RATE, batch_size: int = BATCH) -> DataFrame:
     """``(id, n_words, log_likelihood, mean)`` of every document."""
-    ids, flat = fit(docs, text_col, rounds)
+    ids, flat = fit(docs, text_col, rounds, mask_rate, batch_size)
     common = docs.sparkSession.sparkContext.broadcast((ids, flat))
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -269,7 +282,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", round
         for batch in batches:
             n: list[int] = []
             total: list[float] = []
-            for run in chunks(batch.column(1).to_pylist(), 100_000):
+            for run in chunks(batch.column(1).to_pylist(), 60_000):
                 a, b = document_scores(net, known, run)
                 n += a
                 total += b
