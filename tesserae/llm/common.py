@@ -44,7 +44,12 @@ def word_count(text: Column) -> Column:
 
 def words(text: Column) -> Column:
     """Array of words; null text: empty."""
-    flat = F.translate(F.coalesce(text, F.lit("")), CONTROL_SPACES, " " * len(CONTROL_SPACES))
+    text = F.coalesce(text, F.lit(""))
+    held = None
+    for char in CONTROL_SPACES:  # most texts have none, and looking is cheaper than replacing
+        one = text.contains(char)
+        held = one if held is None else held | one
+    flat = F.when(held, F.translate(text, CONTROL_SPACES, " " * len(CONTROL_SPACES))).otherwise(text)
     return F.array_remove(F.split(flat, " ", -1), "")
 
 

@@ -343,7 +343,7 @@ def test_lines(spark):
 
 def test_wide_lines(spark, monkeypatch):
     """Lines of more words than a lane counts have the same fingerprints by another way."""
-    rows = spark.createDataFrame([(0, 0, 0, [f"w{i}" for i in range(90)]), (1, 1, 0, [f"w{i}" for i in range(20)])], "uid long, doc long, line int, tokens array<string>")
+    rows = spark.createDataFrame([(0, 0, 0, 1, [f"w{i}" for i in range(90)]), (1, 1, 0, 2, [f"w{i}" for i in range(20)])], "uid long, doc long, line int, same long, tokens array<string>")
     want = {r["uid"]: r["fp"] for r in line_dedup.fingerprints(rows).collect()}
     monkeypatch.setattr(line_dedup, "MOST", 32)
     assert {r["uid"]: r["fp"] for r in line_dedup.fingerprints(rows).collect()} == want
