@@ -167,11 +167,3 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     named = distinct.join(groups, "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
     lowest = named.groupBy("component").agg(F.min("first").alias("component_id"))
     return marked.join(named.join(lowest, "component").select("fp", "component_id"), "fp").select("id", "fp", "component_id")
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = 2) -> DataFrame:
-    """``docs`` with one row of every component: that of the smallest id, once. Rows without an id stay."""
-    parts = simhash_components(docs.where(F.col(id_col).isNotNull()), id_col, text_col, shingle, distance)
-    kept = parts.where("id = component_id").select("id").distinct()
-    held = docs.join(kept, docs[id_col] == kept["id"], "left_semi").dropDuplicates([id_col])
-    return held.unionByName(docs.where(F.col(id_col).isNull()))

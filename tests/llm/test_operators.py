@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tesserae.llm import chat_format, components, line_dedup, lm_scoring, mixing, packing, quality_rules, registry, simhash_dedup, substring_dedup, topk_search, toxicity
+from tesserae.llm import chat_format, components, line_dedup, lm_scoring, mixing, near_copies, packing, quality_rules, registry, simhash_dedup, substring_dedup, topk_search, toxicity
 from tesserae.llm.common import staged, word_count, words
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -399,11 +399,43 @@ def test_simhash_odd(odd, none):
     assert len(rows) == len(ODD)
     by = {r["id"]: r for r in rows}
     assert by[3]["fp"] == by[4]["fp"] == 0 and by[4]["component_id"] == 3 and by[2]["component_id"] == 1
-    kept = simhash_dedup.keep_one(odd)
-    assert sorted((r["doc_id"] or -1) for r in kept.collect()) == sorted({r["component_id"] for r in rows if r["id"] is not None} | {-1})
     assert simhash_dedup.simhash_components(none).count() == 0
 
 
+def shingles(text):
+    w = (text or "").encode().lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def test_near_copies(spark, sf):
+    docs = spark.read.parquet(f"{sf.replace('sf0.001', 'sf0.01')}/documents.parquet")
+    sets = {r["doc_id"]: shingles(r["text"]) for r in docs.collect()}
+    groups = {r["id"]: r["component"] for r in near_copies.near_copies(docs).collect()}
+    owners = collections.defaultdict(list)
+    for i, s in sets.items():
+        for x in sorted(s)[:: max(1, len(s) // 20)]:
+            owners[x].append(i)
+    close = {(a, b) for v in owners.values() for a in v for b in v if a < b and jaccard(sets[a], sets[b]) >= 0.83}
+    found = sum(groups.get(a, a) == groups.get(b, b) for a, b in close)
+    assert len(close) > 50 and found >= 0.75 * len(close)
+    members = collections.defaultdict(list)
+    for i, c in groups.items():
+        members[c].append(i)
+    for v in members.values():  # nobody is in a group without a neighbour that is alike
+        assert all(max(jaccard(sets[i], sets[j]) for j in v if j != i) > 0.7 for i in v) or len(v) == 1
+
+
+def test_near_copies_odd(odd, none):
+    kept = near_copies.keep_one(odd)
+    assert kept.columns == odd.columns
+    assert sorted((r["doc_id"] or -1) for r in kept.collect()) == [-1, 1, 3, 5, 6, 8]
+    assert near_copies.keep_one(none).count() == 0
+
+
 # 9
 
 
