@@ -50,7 +50,7 @@ def timeline(df: DataFrame, bins: int, when: str = "time") -> DataFrame:
     return df.select(when).crossJoin(ends).groupBy(at.alias("bin")).agg(F.count("*").alias("n"))  # ends is one row
 
 
-def mesh_statistics(chain: DataFrame, degrees: DataFrame) -> DataFrame:
+def node_statistics(chain: DataFrame, degrees: DataFrame) -> DataFrame:
     """One row: counts, spans, distances, degrees, nodes with and without deltas."""
     own = chain.agg(F.count("*").alias("n_nodes"), F.min("time").alias("min_time"), F.max("time").alias("max_time"), (F.max("time") - F.min("time")).alias("time_span"), F.avg("distance").alias("avg_distance"), F.max("distance").alias("max_distance"), F.count_if(F.col("parent_id").isNotNull()).alias("n_deltas"))
     deg = degrees.agg(F.sum("degree").alias("sum_degree"), F.max("degree").alias("max_degree"))

@@ -54,7 +54,7 @@ def a07(spark, d):
 
 
 @add(
-    "a08_mesh_statistics",
+    "a08_node_statistics",
     f"""WITH {EDGES}, e AS (SELECT src AS i FROM edges UNION ALL SELECT dst FROM edges), g AS (SELECT i, count(*) AS degree FROM e GROUP BY 1)
     SELECT count(*) AS n_nodes, round(max(time) - min(time), 6) AS time_span, round(avg(distance), 6) AS avg_distance, max(distance) AS max_distance,
            count(parent_id) AS n_deltas, (SELECT max(degree) FROM g) AS max_degree, round((SELECT sum(degree) FROM g) / count(*), 6) AS avg_degree FROM chain""",
@@ -63,7 +63,7 @@ def a08(spark, d):
     from tesserae.operators.graph import degrees
 
     n = t.nodes(spark, d)
-    s = a.mesh_statistics(t.chain(n), degrees(t.edges(n)))
+    s = a.node_statistics(t.chain(n), degrees(t.edges(n)))
     return s.select("n_nodes", r6("time_span").alias("time_span"), r6("avg_distance").alias("avg_distance"), "max_distance", "n_deltas", "max_degree", r6("avg_degree").alias("avg_degree"))
 
 

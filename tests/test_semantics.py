@@ -67,20 +67,20 @@ def test_polygon_boundary_and_path(spark):
 
 
 @pytest.fixture(scope="module")
-def mesh(spark):
+def shelf(spark):
     rows = [(1, 0.0, 0.1, 0.0, "Test Topic 1"), (2, 1.0, 0.5, 90.0, "Test Topic 2"), (3, 1.0, 0.8, 180.0, "Test Topic 3")]
     return spark.createDataFrame(rows, "node_id int, time double, distance double, angle double, topic string")
 
 
 @pytest.mark.parametrize(("t", "tolerance", "n"), [(1.0, 0.1, 2), (0.0, 0.1, 1), (0.5, 0.6, 3)])
-def test_slices(mesh, t, tolerance, n):
-    assert search.temporal_slice(mesh, t, tolerance).count() == n
+def test_slices(shelf, t, tolerance, n):
+    assert search.temporal_slice(shelf, t, tolerance).count() == n
 
 
-def test_nearest_excludes_itself_and_nests(mesh):
-    near = search.nearest_nodes(mesh, 0.0, 0.1, 0.0, 2, but=1).collect()
+def test_nearest_excludes_itself_and_nests(shelf):
+    near = search.nearest_nodes(shelf, 0.0, 0.1, 0.0, 2, but=1).collect()
     assert [r["node_id"] for r in near] == [2, 3]
-    assert search.nearest_nodes(mesh, 0.0, 0.1, 0.0, 1, but=1).first()["node_id"] == near[0]["node_id"]
+    assert search.nearest_nodes(shelf, 0.0, 0.1, 0.0, 1, but=1).first()["node_id"] == near[0]["node_id"]
 
 
 def test_state_is_folded_and_checkpoints_agree(spark):
