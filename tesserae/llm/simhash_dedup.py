@@ -138,24 +138,28 @@ def _ball(fp: Column, radius: int) -> Column:
     return F.transform(F.array(*[F.lit(x).cast("long") for x in flips]), lambda x: fp.bitwiseXOR(x))
 
 
-def links(distinct: DataFrame, distance: int, pairwise: int = PAIRWISE, sample_size: int = SAMPLE) -> DataFrame:
-    """Links ``(u, v)`` among distinct fingerprints ``fp`` with the components of all pairs within ``distance`` bits."""
+def links(distinct: DataFrame, distance: int, pairwise: int = PAIRWISE, sample_size: int = SAMPLE, within: tuple[str, ...] = ()) -> DataFrame:
+    """Links ``(within..., u, v)`` among distinct fingerprints ``fp`` with the components of all pairs within ``distance`` bits.
+
+    Fingerprints are compared only where the columns ``within`` are the same.
+    """
     sample = np.array([r["fp"] for r in distinct.orderBy(F.xxhash64("fp"), "fp").limit(sample_size).collect()], np.int64).view(np.uint64)
     chosen = allocate(sample, distinct.count(), distance)
     keys = [(k, _signed(int(_mask(bits))), flip) for k, (bits, t) in enumerate(chosen) for flip in _flips(bits, t)]
     probe = F.array(*[F.struct(F.lit(k).alias("part"), F.col("fp").bitwiseAND(F.lit(m)).bitwiseXOR(F.lit(x)).alias("key")) for k, m, x in keys])
-    probes = distinct.select("fp", F.explode(probe).alias("p")).select("p.part", "p.key", "fp")
-    shared = staged(probes.groupBy("part", "key").agg(F.count("*").alias("n")).where("n > 1"), "shared")
-    met = staged(probes.join(shared, ["part", "key"]), "met")
+    probes = distinct.select(*within, "fp", F.explode(probe).alias("p")).select(*within, "p.part", "p.key", "fp")
+    by = [*within, "part", "key"]
+    shared = staged(probes.groupBy(*by).agg(F.count("*").alias("n")).where("n > 1"), "shared")
+    met = staged(probes.join(shared, by), "met")
     small = met.where(F.col("n") <= pairwise)
-    pairs = small.select("part", "key", F.col("fp").alias("u")).join(small.select("part", "key", F.col("fp").alias("v")), ["part", "key"])
-    pairs = pairs.where((F.col("u") > F.col("v")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= distance)).select("u", "v")
-    large = met.where(F.col("n") > pairwise).select("fp").distinct()
+    pairs = small.select(*by, F.col("fp").alias("u")).join(small.select(*by, F.col("fp").alias("v")), by)
+    pairs = pairs.where((F.col("u") > F.col("v")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= distance)).select(*within, "u", "v")
+    large = met.where(F.col("n") > pairwise).select(*within, "fp").distinct()
     near, far = distance // 2, distance - distance // 2
     # what lies within near bits of a point is linked to it all round; what lies at far bits, to anything near
-    balls = large.select("fp", F.explode(_ball(F.col("fp"), far)).alias("z")).withColumn("close", F.bit_count(F.col("fp").bitwiseXOR(F.col("z"))) <= near)
-    centre = balls.groupBy("z").agg(F.min(F.when(F.col("close"), F.col("fp"))).alias("v"), F.count("*").alias("n")).where("n > 1 and v is not null").select("z", "v")
-    stars = balls.join(centre, "z").where("fp <> v").select(F.col("fp").alias("u"), "v")
+    balls = large.select(*within, "fp", F.explode(_ball(F.col("fp"), far)).alias("z")).withColumn("close", F.bit_count(F.col("fp").bitwiseXOR(F.col("z"))) <= near)
+    centre = balls.groupBy(*within, "z").agg(F.min(F.when(F.col("close"), F.col("fp"))).alias("v"), F.count("*").alias("n")).where("n > 1 and v is not null").select(*within, "z", "v")
+    stars = balls.join(centre, [*within, "z"]).where("fp <> v").select(*within, F.col("fp").alias("u"), "v")
     return pairs.union(stars).distinct()
 
 
