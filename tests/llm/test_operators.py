@@ -341,6 +341,28 @@ def test_lines(spark):
     assert line_dedup.dedup_lines(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("pairwise", [1, line_dedup.PAIRWISE])
+def test_line_recall(spark, pairwise):
+    """Nearly all lines that are alike by edits alone are linked, however far apart their fingerprints lie."""
+    rng = np.random.default_rng(7)
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    stock = ["".join(rng.choice(letters, int(rng.integers(2, 10)))) for _ in range(3000)]
+    pairs = []
+    while len(pairs) < 80:
+        a = [str(w) for w in rng.choice(stock, int(rng.integers(8, 60)))]
+        b = list(a)
+        for at in rng.choice(len(a), max(1, len(a) // 15), replace=False):
+            b[at] = str(rng.choice(stock))
+        x, y = " ".join(a), " ".join(b)
+        if a != b and edits(x, y) <= int(max(len(x), len(y)) * (1 - line_dedup.SIMILARITY) + 1e-9):
+            pairs.append((x, y))
+    rows = [(2 * k + j, text) for k, pair in enumerate(pairs) for j, text in enumerate(pair)]
+    docs = staged(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "docs")
+    group = {r["doc"]: r["grp"] for r in line_dedup.line_groups(docs, pairwise=pairwise).collect()}
+    assert sum(group[2 * k] == group[2 * k + 1] for k in range(len(pairs))) >= 0.98 * len(pairs)
+    assert len(set(group.values())) >= len(pairs)
+
+
 def test_wide_lines(spark, monkeypatch):
     """Lines of more words than a lane counts have the same fingerprints by another way."""
     rows = spark.createDataFrame([(0, 0, 0, 1, [f"w{i}" for i in range(90)]), (1, 1, 0, 2, [f"w{i}" for i in range(20)])], "uid long, doc long, line int, same long, tokens array<string>")
