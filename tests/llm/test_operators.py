@@ -363,6 +363,13 @@ def test_line_recall(spark, pairwise):
     assert len(set(group.values())) >= len(pairs)
 
 
+def test_short_lines(spark):
+    """Equal short lines go but for the first; others of few edits and blank lines stay."""
+    rows = [(1, "Read more\n\nPage 1 of 12 here"), (2, "read  MORE\n\nPage 2 of 12 here"), (3, "x\nRead more\n ")]
+    docs = staged(spark.createDataFrame(rows, "doc_id long, text string"), "docs")
+    assert {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs).collect()} == {1: rows[0][1], 2: "\nPage 2 of 12 here", 3: "x\n "}
+
+
 def test_wide_lines(spark, monkeypatch):
     """Lines of more words than a lane counts have the same fingerprints by another way."""
     rows = spark.createDataFrame([(0, 0, 0, 1, [f"w{i}" for i in range(90)]), (1, 1, 0, 2, [f"w{i}" for i in range(20)])], "uid long, doc long, line int, same long, tokens array<string>")
