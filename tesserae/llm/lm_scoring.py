@@ -4,8 +4,8 @@ Every word is predicted from the four words on either side, never from itself; t
 conditional probabilities scores the document. The vocabulary is the most frequent words of the whole corpus, other words
 fall into hash buckets. The softmax has two levels: 64 classes by frequency, 64 words in each.
 
-The network is trained in numpy where the data lie: in each round every partition masks a seeded share of positions of
-all of its documents, takes Adagrad steps from the common weights, and returns weights that are averaged by the number of
+The network is trained in numpy where the data lie: in each round every partition predicts a seeded share of positions of
+all of its documents, each position in one of the rounds, takes Adagrad steps from the common weights, and returns weights that are averaged by the number of
 positions, in groups of bounded size. So what is gathered grows with the corpus, while the driver sees a few models only.
 
 Null or empty text has no words, score 0 and mean 0. Repeated rows are scored alike and weigh as often in training; ids
@@ -30,10 +30,11 @@ VOCABULARY = CLASSES * CLASSES
 BUCKETS = 256
 SIZE = 32
 SIDE = 4
-MASK_RATE = 0.03
 ROUNDS = 2
-RATE = 0.2
-BATCH = 4096
+#: Share of positions that a round trains on; shares of successive rounds follow each other, so that all have their turn.
+MASK_RATE = 1 / ROUNDS
+RATE = 0.15
+BATCH = 2048
 SEED = 29
 #: Models averaged in one task, and words counted by a worker before it passes counts on.
 FAN_IN = 16
@@ -172,6 +173,11 @@ class Words(dict):
         return found
 
 
+def round_positions(draws: np.ndarray, round_: int, mask_rate: float) -> np.ndarray:
+    """Positions that a round trains on, by a draw from [0, 1) for each that is the same in all rounds."""
+    return np.flatnonzero((draws - round_ * mask_rate) % 1.0 < mask_rate)
+
+
 def _train(docs: DataFrame, text_col: str, ids: dict[bytes, int], flat: np.ndarray, round_: int, mask_rate: float, batch_size: int) -> np.ndarray:
     """The average of what all partitions make of the common weights."""
     spark = docs.sparkSession
@@ -183,7 +189,7 @@ def _train(docs: DataFrame, text_col: str, ids: dict[bytes, int], flat: np.ndarr
         part = TaskContext.get().partitionId()
         known, flat = common.value
         known = Words(known)
-        net, rng, seen = Network(flat), np.random.default_rng((SEED, round_, part)), 0
+        net, rng, seen = Network(flat), np.random.default_rng((SEED, part)), 0
         around, middle = [], []
 
         def learn():
@@ -197,7 +203,7 @@ def _train(docs: DataFrame, text_col: str, ids: dict[bytes, int], flat: np.ndarr
             for text in batch.column(0).to_pylist():
                 words = text.lower().split()
                 n = len(words)
-                for i in np.flatnonzero(rng.random(n) < mask_rate).tolist():
+                for i in round_positions(rng.random(n), round_, mask_rate).tolist():
                     left = [known[w] for w in words[max(0, i - SIDE) : i]]
                     right = [known[w] for w in words[i + 1 : i + 1 + SIDE]]
                     around.append([VOCABULARY] * (SIDE - len(left)) + left + right + [VOCABULARY] * (SIDE - len(right)))

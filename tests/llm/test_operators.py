@@ -249,6 +249,12 @@ def test_likelihood_learns_context(spark):
     assert lm_scoring.score(docs.limit(0)).count() == 0
 
 
+def test_likelihood_trains_on_every_position():
+    draws = np.random.default_rng(3).random(10_000)
+    met = np.concatenate([lm_scoring.round_positions(draws, k, lm_scoring.MASK_RATE) for k in range(lm_scoring.ROUNDS)])
+    assert sorted(met.tolist()) == list(range(len(draws)))
+
+
 def test_likelihood_never_sees_the_word_itself():
     net = lm_scoring.Network()
     net.o[:] = np.random.default_rng(0).normal(size=net.o.shape)
