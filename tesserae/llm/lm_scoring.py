@@ -2,7 +2,7 @@
 
 Every word is predicted from the four words on either side, never from itself; the sum of the logarithms of these
 conditional probabilities scores the document. The vocabulary is the most frequent words of the whole corpus, other words
-fall into hash buckets. The softmax has two levels: 64 classes by frequency, 64 words in each.
+fall into hash buckets and add the logarithm of their share of the bucket's counts. The softmax has two levels: 64 classes by frequency, 64 words in each.
 
 The network is trained in numpy where the data lie: in each round every partition predicts a seeded share of positions of
 all of its documents, each position in one of the rounds, takes Adagrad steps from the common weights, and returns weights that are averaged by the number of
@@ -227,9 +227,17 @@ def _train(docs: DataFrame, text_col: str, ids: dict[bytes, int], flat: np.ndarr
     return flat if last.empty else np.frombuffer(average(last)["model"][0], np.float32)
 
 
-def fit(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS, mask_rate: float = MASK_RATE, batch_size: int = BATCH) -> tuple[dict[bytes, int], np.ndarray]:
+def bucket_shares(counts: DataFrame, ids: dict[bytes, int]) -> DataFrame:
+    """``(word, share)``: log p(word | bucket) of words outside the vocabulary; in each bucket one count is for unseen words."""
+    known = counts.sparkSession.createDataFrame([(bytearray(w),) for w in ids], "word binary")
+    rare = counts.join(F.broadcast(known), "word", "left_anti").withColumn("bucket", F.crc32("word") % BUCKETS)
+    sums = rare.groupBy("bucket").agg(F.sum("n").alias("all"))  # a row for each bucket
+    return rare.join(F.broadcast(sums), "bucket").select("word", F.ln(F.col("n") / (F.col("all") + 1)).alias("share"))
+
+
+def fit(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS, mask_rate: float = MASK_RATE, batch_size: int = BATCH, counts: DataFrame | None = None) -> tuple[dict[bytes, int], np.ndarray]:
     """Vocabulary and weights from the whole corpus."""
-    counts = staged(word_counts(docs, text_col), "counts")
+    counts = staged(word_counts(docs, text_col), "counts") if counts is None else counts
     top = counts.orderBy(F.desc("n"), "word").limit(VOCABULARY - BUCKETS).collect()
     ids = {bytes(r["word"]): k for k, r in enumerate(top)}
     seen = np.zeros(VOCABULARY)
@@ -276,7 +284,8 @@ def document_scores(net: Network, ids: Words, texts: list[bytes]) -> tuple[list[
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, mask_rate: float = MASK_RATE, batch_size: int = BATCH) -> DataFrame:
     """``(id, n_words, log_likelihood, mean)`` of every document."""
-    ids, flat = fit(docs, text_col, rounds, mask_rate, batch_size)
+    counts = staged(word_counts(docs, text_col), "counts")
+    ids, flat = fit(docs, text_col, rounds, mask_rate, batch_size, counts)
     common = docs.sparkSession.sparkContext.broadcast((ids, flat))
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -284,15 +293,21 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", round
         from tesserae.llm.packing import chunks
 
         known, flat = common.value
-        known, net = Words(known), Network(flat)
+        top, known, net = known, Words(known), Network(flat)
         for batch in batches:
+            rare = [[{"word": w, "k": k} for w, k in Counter(w for w in text.lower().split() if w not in top).items()] for text in batch.column(1).to_pylist()]
             n: list[int] = []
             total: list[float] = []
             for run in chunks(batch.column(1).to_pylist(), 60_000):
                 a, b = document_scores(net, known, run)
                 n += a
                 total += b
-            mean = np.array(total) / np.maximum(1, n) if n else np.empty(0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(total, pa.float64()), pa.array(mean, pa.float64())], names=["id", "n_words", "log_likelihood", "mean"])
-
-    return docs.select(F.col(id_col).alias("id"), utf8(text_col).alias("text")).mapInArrow(rows, f"id {kind}, n_words long, log_likelihood double, mean double")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(total, pa.float64()), pa.array(rare, pa.list_(pa.struct([("word", pa.binary()), ("k", pa.int64())])))], names=["id", "n_words", "total", "rare"])
+
+    made = docs.select(F.col(id_col).alias("id"), utf8(text_col).alias("text")).mapInArrow(rows, f"id {kind}, n_words long, total double, rare array<struct<word: binary, k: long>>")
+    # rows are told apart by a number that is written with them, as ids may repeat
+    scored = staged(made.withColumn("uid", F.monotonically_increasing_id()), "scored")
+    each = scored.select("uid", F.inline("rare")).hint("merge").join(bucket_shares(counts, ids), "word")
+    within = each.groupBy("uid").agg(F.sum(F.col("k") * F.col("share")).alias("within"))
+    both = scored.drop("rare").hint("merge").join(within, "uid", "left").withColumn("log_likelihood", F.col("total") + F.coalesce("within", F.lit(0.0)))
+    return both.select("id", "n_words", "log_likelihood", (F.col("log_likelihood") / F.greatest("n_words", F.lit(1))).alias("mean"))

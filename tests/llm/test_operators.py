@@ -255,6 +255,20 @@ def test_likelihood_trains_on_every_position():
     assert sorted(met.tolist()) == list(range(len(draws)))
 
 
+def test_likelihood_of_rare_words(spark, monkeypatch):
+    """A word outside the vocabulary scores by its own count, and the words of a bucket leave some for unseen ones."""
+    ids = {b"the": 0, b"of": 1}
+    counts = spark.createDataFrame([(bytearray(w), n) for w, n in ((b"the", 90), (b"of", 50), (b"rare", 3), (b"rarer", 1))], "word binary, n long")
+    monkeypatch.setattr(lm_scoring, "BUCKETS", 1)
+    shares = {bytes(r["word"]): r["share"] for r in lm_scoring.bucket_shares(counts, ids).collect()}
+    assert shares == {b"rare": pytest.approx(np.log(3 / 5)), b"rarer": pytest.approx(np.log(1 / 5))}
+    common = [f"w{i:04d}" for i in range(lm_scoring.VOCABULARY - lm_scoring.BUCKETS)]
+    texts = [(0, " ".join(common * 3)), (1, "zebra zebra quagga"), (2, "zebra"), (3, "quagga")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    rows = {r["id"]: r["log_likelihood"] for r in lm_scoring.score(docs, rounds=0).collect()}
+    assert rows[2] - rows[3] == pytest.approx(np.log(3 / 2), abs=1e-3)
+
+
 def test_likelihood_never_sees_the_word_itself():
     net = lm_scoring.Network()
     net.o[:] = np.random.default_rng(0).normal(size=net.o.shape)
