@@ -478,6 +478,25 @@ def test_near_copies(spark, sf):
         assert all(max(jaccard(sets[i], sets[j]) for j in v if j != i) > 0.7 for i in v) or len(v) == 1
 
 
+def test_near_copies_recall_and_precision(spark):
+    """Texts in pairs of a similarity of 0.8 or little more are linked, those just under it are not."""
+    rng = np.random.default_rng(5)
+    rows, want = [], []
+    for k in range(150):
+        a = [f"w{x}" for x in rng.integers(0, 10**6, int(rng.integers(60, 900)))]
+        b = list(a)
+        for at in range(7, len(a), int(rng.integers(30, 60))):
+            b[at] = f"new{at}"
+        j = jaccard(shingles(" ".join(a)), shingles(" ".join(b)))
+        rows += [(2 * k, " ".join(a)), (2 * k + 1, " ".join(b))]
+        want.append(j >= 0.8)
+    docs = staged(spark.createDataFrame(rows, "doc_id long, text string"), "docs")
+    groups = {r["id"]: r["component"] for r in near_copies.near_copies(docs).collect()}
+    found = [groups.get(2 * k, -1) == groups.get(2 * k + 1, -2) for k in range(len(want))]
+    assert 20 < sum(want) < 130 and not any(f and not w for f, w in zip(found, want, strict=True))
+    assert sum(f and w for f, w in zip(found, want, strict=True)) >= 0.98 * sum(want)
+
+
 def test_near_copies_odd(odd, none):
     kept = near_copies.keep_one(odd)
     assert kept.columns == odd.columns
