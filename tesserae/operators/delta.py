@@ -28,13 +28,18 @@ def running_states(deltas: DataFrame, key: str, order: list[str], names: list[st
     return deltas.select("*", *[F.last(F.col(content).getItem(n), ignorenulls=True).over(w).alias(f"state_{n}") for n in names])
 
 
-def chain_closure(edges: DataFrame, starts: DataFrame, max_depth: int, src: str = "src", dst: str = "dst") -> DataFrame:
-    """``(start, node_id, depth)``: all that is reachable by references, each node at its least depth; cycles end."""
+def chain_closure(edges: DataFrame, starts: DataFrame, max_depth: int | None = None, src: str = "src", dst: str = "dst") -> DataFrame:
+    """``(start, node_id, depth)``: all that is reachable by references, each node at its least depth; cycles end.
+
+    With ``max_depth`` only what lies so near; else to the end, in as many rounds as the depth has binary digits.
+    """
     from tesserae.sources.store import written
 
     seen = starts.select(F.col("node_id").alias("start"), "node_id", F.lit(0).alias("depth"))
     frontier = seen
     links = edges.select(F.col(src).alias("node_id"), F.col(dst).alias("next")).distinct()
+    if max_depth is None:
+        return _whole_closure(seen, links)
     for depth in range(1, max_depth + 1):
         step = frontier.join(links, "node_id").select("start", F.col("next").alias("node_id")).distinct()
         frontier = written(step.join(seen.select("start", "node_id"), ["start", "node_id"], "left_anti").withColumn("depth", F.lit(depth)), "frontier")
@@ -44,6 +49,26 @@ def chain_closure(edges: DataFrame, starts: DataFrame, max_depth: int, src: str
     return seen
 
 
+def _whole_closure(seen: DataFrame, links: DataFrame) -> DataFrame:
+    """Pointer doubling: ``seen`` holds what is nearer than ``step``, ``jumps`` what is ``step`` references away."""
+    from tesserae.sources.store import written
+
+    jumps, step, n = links, 1, seen.count()
+    while True:
+        farther = seen.join(jumps, "node_id").select("start", F.col("next").alias("node_id"), (F.col("depth") + step).alias("depth"))
+        seen = written(seen.union(farther).groupBy("start", "node_id").agg(F.min("depth").alias("depth")), "closure")
+        before, n = n, seen.count()
+        if n == before:
+            return seen
+        jumps = written(jumps.join(_onward(jumps), "next").select("node_id", F.col("after").alias("next")).distinct(), "jumps")
+        step *= 2
+
+
+def _onward(jumps: DataFrame) -> DataFrame:
+    """``(next, after)``: the same jumps, to be joined where others end."""
+    return jumps.select(F.col("node_id").alias("next"), F.col("next").alias("after"))
+
+
 def apply_delta(original: DataFrame, delta: DataFrame) -> DataFrame:
     """New nodes that change others: position is inherited where the delta has none."""
     base = original.select(F.col("node_id").alias("parent_id"), F.col("distance").alias("_r"), F.col("angle").alias("_a"))

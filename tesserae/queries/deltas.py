@@ -35,6 +35,15 @@ def v02(spark, d):
     return delta.chain_closure(e, starts, 3)
 
 
+@add("v02_whole_chain_closure", f"WITH RECURSIVE {CHAIN}, s AS (SELECT node_id FROM chain c WHERE NOT EXISTS (SELECT 1 FROM chain x WHERE x.parent_id = c.node_id)), r AS (SELECT node_id AS start, node_id, 0 AS depth FROM s UNION ALL SELECT start, parent_id, depth + 1 FROM r JOIN chain USING (node_id) WHERE parent_id IS NOT NULL) SELECT start, node_id, depth FROM r")
+def v02w(spark, d):
+    """Chains to their end."""
+    n = t.nodes(spark, d)
+    e = t.edges(n)
+    starts = n.select("node_id").join(e.select(F.col("dst").alias("node_id")), "node_id", "left_anti")
+    return delta.chain_closure(e, starts)
+
+
 @add("v03_node_state", f"WITH {NODES} SELECT user_id, {_last()} FROM nodes GROUP BY 1")
 def v03(spark, d):
     return _flat(delta.fold_states(t.nodes(spark, d), "user_id", ORDER))

@@ -319,3 +319,11 @@ def test_costs():
     assert cost.temporal_selectivity(None, 1.0) == 0.2
     assert cost.spatial_selectivity((0, 0, 1, 1), (0, 0, 2, 2)) == 0.25
     assert cost.bucket_advice(3600.0, 100, 10).reason == "uneven"
+
+
+def test_closure_without_bound(spark):
+    edges = spark.range(1, 12).selectExpr("id AS src", "id + 1 AS dst")
+    starts = spark.createDataFrame([(1,)], "node_id long")
+    assert sorted((r["node_id"], r["depth"]) for r in delta.chain_closure(edges, starts).collect()) == [(k, k - 1) for k in range(1, 13)]
+    ring = spark.createDataFrame([(1, 2), (2, 3), (3, 1)], "src long, dst long")
+    assert sorted((r["node_id"], r["depth"]) for r in delta.chain_closure(ring, starts).collect()) == [(1, 0), (2, 1), (3, 2)]
