@@ -78,6 +78,16 @@ def sc24(spark, d):
     return spark.read.parquet(f"{base}/out").where("user_id between 20 and 30").select("event_id", "event_type")
 
 
+@add("sc24_whole_compacted", "SELECT * FROM events")
+def sc24w(spark, d):
+    """All rows and columns of the compacted table."""
+    base = f"{store.shared_dir(spark)}/compact-{uuid.uuid4().hex}"
+    events = t.table(spark, d, "events")
+    store.bulk_load(events.withColumn("t_bucket", F.dayofmonth("ts") % 4), f"{base}/in")
+    store.compact(spark, f"{base}/in", f"{base}/out", 8, "user_id", "event_id")
+    return spark.read.parquet(f"{base}/out").select(*events.columns)
+
+
 @add("sc15_markdown", "SELECT conv_id, turn, role, trim(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS content FROM conversations WHERE role IN ('user', 'assistant') AND conv_id IN (SELECT conv_id FROM conversations GROUP BY 1 HAVING count(*) FILTER (role NOT IN ('user', 'assistant')) = 0)")
 def sc15(spark, d):
     """Conversations of users and assistants written as Markdown, and read back."""
