@@ -9,10 +9,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesserae.queries import aggregation, deltas, filters, graphs, ordered, storage
+from tesserae.queries import aggregation, deltas, each, filters, graphs, ordered, storage
 
 Query = Callable[[SparkSession, str], DataFrame]
-_PARTS = (filters, ordered, aggregation, deltas, graphs, storage)
+_PARTS = (filters, ordered, aggregation, deltas, graphs, storage, each)
 
 
 def queries() -> dict[str, Query]:

@@ -141,3 +141,19 @@ def ordered_id(ts: Column, node: int, seq: Column) -> Column:
     """Ids that sort by time: milliseconds, node and sequence in hex."""
     millis = (F.unix_micros(ts.cast("timestamp")) / 1000).cast("long")
     return F.lower(F.concat(F.lpad(F.hex(millis), 12, "0"), F.lpad(F.hex(F.lit(node)), 4, "0"), F.lpad(F.hex(seq.cast("long")), 4, "0")))
+
+
+def seeded_share(seed: int, *parts: Column) -> Column:
+    """A number from 0 to 1 by a hash, the same in every run and engine that has MD5."""
+    text = F.concat_ws("-", F.lit(str(seed)), *[p.cast("string") for p in parts])
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 6), 16, 10).cast("double") / float(1 << 24)
+
+
+def delta_position(time: Column, distance: Column, angle: Column, significance: Column, id_: Column, seed: int = 0) -> tuple[Column, Column, Column]:
+    """Where a change of a node goes: ``time``, and the node's place moved a little, more if the change matters more.
+
+    The radius moves by up to a fifth and the angle by up to 5 degrees, both by seeded hashes of the id; it stays at 0.1 or more.
+    """
+    out = (seeded_share(seed, id_) * 2.0 - 1.0) * 0.2 * significance
+    turn = (seeded_share(seed + 1, id_) * 2.0 - 1.0) * 5.0 * significance
+    return time, F.greatest(F.lit(0.1), distance + out), F.pmod(angle + turn, F.lit(360.0))

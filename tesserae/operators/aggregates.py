@@ -120,13 +120,15 @@ def exclusive_percentile(values: Column, percent: float) -> Column:
 
 
 def percentile_of(df: DataFrame, column: str, percent: float, *keys: str) -> DataFrame:
-    """Exact exclusive percentile by rank, without gathering the values: two neighbours of a sorted sequence."""
+    """Exact exclusive percentile: equal values are counted before the shuffle, and running sums over the counts give the
+    two neighbours of the rank."""
+    counts = df.where(F.col(column).isNotNull()).groupBy(*keys, F.col(column).cast("double").alias("v")).agg(F.count("*").alias("c"))
     w = Window.partitionBy(*keys)
-    ranked = df.where(F.col(column).isNotNull()).select(*keys, F.col(column).cast("double").alias("v")).withColumn("i", F.row_number().over(w.orderBy("v"))).withColumn("n", F.count("*").over(w))
+    ranked = counts.withColumn("upto", F.sum("c").over(w.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("n", F.sum("c").over(w))
     at = F.lit(float(percent)) * (F.col("n") + 1) / 100.0
     j = F.greatest(F.lit(1), F.least(F.col("n") - 1, F.floor(at).cast("int")))
-    near = ranked.withColumn("at", at).withColumn("j", j).where("i = j or i = j + 1 or n = 1")
-    pair = near.groupBy(*keys).agg(F.min_by("v", "i").alias("low"), F.max_by("v", "i").alias("high"), F.first("at").alias("at"), F.first("j").alias("j"))
+    near = ranked.withColumn("at", at).withColumn("j", j).where("j <= upto and j + 1 > upto - c")
+    pair = near.groupBy(*keys).agg(F.min("v").alias("low"), F.max("v").alias("high"), F.first("at").alias("at"), F.first("j").alias("j"))
     return pair.select(*keys, (F.col("low") + (F.col("high") - F.col("low")) * (F.col("at") - F.col("j"))).alias("percentile"))
 
 

@@ -179,6 +179,22 @@ def optimise_versions(versions: DataFrame, keep: int = 10, merge: int = 5) -> Da
     return n.select("node_id", "n", (F.col("n") - kept).alias("pruned"), merged.cast("long").alias("merged"), (kept - merged).cast("long").alias("left"))
 
 
+def optimise_all(versions: DataFrame, keep: int = 10, merge: int = 5) -> DataFrame:
+    """One row over all nodes: nodes, versions before, pruned, merged, versions after."""
+    each = optimise_versions(versions, keep, merge)
+    return each.agg(F.count("*").alias("nodes"), F.sum("n").alias("before"), F.sum("pruned").alias("pruned"), F.sum("merged").alias("merged"), F.sum("left").alias("after"))
+
+
+#: Bytes of the fields that every delta record has (node id, time, delta id), and of its link.
+RECORD_BYTES, LINK_BYTES = 40, 16
+
+
+def record_size(previous: Column, metadata: Column, ops: Column) -> Column:
+    """Estimated bytes of a delta record: fixed fields, its link if it has one, and its JSON texts."""
+    link = F.when(previous.isNotNull(), LINK_BYTES).otherwise(0)
+    return (RECORD_BYTES + link + F.length(metadata) + F.aggregate(F.transform(ops, F.length), F.lit(0), lambda n, k: n + k)).cast("long")
+
+
 def version_delta(versions: DataFrame, columns: list[str]) -> DataFrame:
     """Each version with its changed columns against the one before."""
     w = Window.partitionBy("node_id").orderBy("version")

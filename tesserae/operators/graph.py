@@ -82,16 +82,21 @@ def related_filter(nodes: DataFrame, edges: DataFrame, type_: str) -> DataFrame:
     return nodes.join(typed.select(F.col("src").alias("node_id")).union(typed.select(F.col("dst").alias("node_id"))), "node_id", "left_semi")
 
 
-def knowledge_traversal(chain: DataFrame, edges: DataFrame, at: tuple[float, float, float], k: int, names: list[str]) -> DataFrame:
+def knowledge_traversal(chain: DataFrame, edges: DataFrame, at: tuple[float, float, float], k: int, names: list[str], near: DataFrame | None = None) -> DataFrame:
     """The nearest nodes to a position, what they are linked to, and the latest change and state of what that belongs to.
 
-    The k nearest are found with k rows a task; the rest are joins from that small side.
+    The k nearest are found with k rows a task and written; only histories that they lead to are sorted. ``near`` may
+    give the nearest nodes if they are known.
     """
     from tesserae.operators.delta import running_states
-
-    near = nearest_nodes(chain, *at, k=k).select(F.col("node_id").alias("near_id"), F.col("d"))
-    linked = near.join(edges, near["near_id"] == edges["src"]).select("near_id", "d", F.col("dst").alias("node_id"))
-    states = running_states(chain, "user_id", ["t", "node_id"], names)
+    from tesserae.sources.store import written
+
+    near = nearest_nodes(chain, *at, k=k) if near is None else near
+    near = near.select(F.col("node_id").alias("near_id"), F.col("d"))
+    linked = written(near.join(edges, near["near_id"] == edges["src"]).select("near_id", "d", F.col("dst").alias("node_id")), "linked")
+    users = written(chain.join(linked.select("node_id"), "node_id", "left_semi").select("user_id").distinct(), "users")
+    own = chain.join(users, "user_id", "left_semi")
+    states = running_states(own, "user_id", ["t", "node_id"], names)
     at_node = states.select("node_id", "user_id", *[f"state_{n}" for n in names])
-    last = chain.groupBy("user_id").agg(F.max_by("node_id", F.struct("t", "node_id")).alias("last_id"))
+    last = own.groupBy("user_id").agg(F.max_by("node_id", F.struct("t", "node_id")).alias("last_id"))
     return linked.join(at_node, "node_id").join(last, "user_id").select("near_id", "d", "node_id", "user_id", "last_id", *[F.col(f"state_{n}").cast("double").alias(n) for n in names])

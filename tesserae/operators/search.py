@@ -132,3 +132,13 @@ def box_join(left: DataFrame, right: DataFrame, cell: float, box: str = "box") -
     # a pair may meet in many cells; it counts in the first they share
     once = F.col("cell") == F.greatest("left_first", "right_first")
     return met.where(once & geometry.box_intersects(F.col("left_box"), F.col("right_box"))).select("left_id", "right_id")
+
+
+def incremental_nearest(df: DataFrame, distance: Column, max_results: int | None = None, max_distance: float | None = None, tie: str = "node_id") -> DataFrame:
+    """Rows by distance with it as a column, to be read lazily: ``toLocalIterator`` fetches one sorted partition after
+    the other, so whoever stops early has the rest neither sent nor kept."""
+    out = df.withColumn("d", distance)
+    if max_distance is not None:
+        out = out.where(F.col("d") <= max_distance)
+    out = out.orderBy("d", tie)
+    return out if max_results is None else out.limit(max_results)

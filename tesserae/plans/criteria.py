@@ -248,12 +248,12 @@ class Query:
         self.criteria.validate()
         return self
 
-    def run(self, df: DataFrame, fields: Fields | None = None, order_by: str = "node_id") -> DataFrame:
-        """All predicates first, then order, offset and limit."""
+    def run(self, df: DataFrame, fields: Fields | None = None, order_by: str = "node_id", row_cap: int | None = None) -> DataFrame:
+        """All predicates first, then order, offset and limit; ``row_cap`` bounds what a query without a limit returns."""
         self.validate()
         out = df.where(self.criteria.column(fields or Fields()))
         if self.limit is None and not self.offset:
-            return out
+            return out if row_cap is None else out.limit(row_cap)
         out = out.orderBy(order_by).offset(self.offset or 0)
         return out if self.limit is None else out.limit(self.limit)
 

@@ -130,6 +130,11 @@ def combined_query(df: DataFrame, spatial_criteria: dict, temporal_criteria: dic
     return execute_query({"spatial_criteria": spatial_criteria, "temporal_criteria": temporal_criteria, "limit": limit}, df)
 
 
+def server_statistics(df: DataFrame) -> DataFrame:
+    """One row for the endpoint of statistics: nodes, kinds, users, and the ends of time."""
+    return df.agg(F.count("*").alias("nodes"), F.countDistinct("node_type").alias("kinds"), F.countDistinct("user_id").alias("users"), F.min("t").alias("first"), F.max("t").alias("last"))
+
+
 def nearest(df: DataFrame, x: float, y: float, k: int) -> DataFrame:
     return by_distance(df, F.sqrt((F.col("x") - x) ** 2 + (F.col("y") - y) ** 2), k)
 

@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from tesserae.functions.scalars import STOP_WORDS
 from tesserae.operators import graph, knowledge
+from tesserae.operators.search import nearest_nodes
 from tesserae.queries.common import EDGES, FACTS, Registry, r6
 from tesserae.sources import tables as t
 from tesserae.sources import text
+from tesserae.sources.store import written
 
 QUERIES = Registry()
 add = QUERIES.add
@@ -45,7 +47,11 @@ _STATE = ", ".join(f"last_value(CASE WHEN node_type = '{n}' THEN value END IGNOR
 )
 def g07(spark, d):
     n = t.nodes(spark, d)
-    return graph.knowledge_traversal(n, t.edges(n), (360.0, 0.5, 90.0), 25, NAMES)
+    at = (360.0, 0.5, 90.0)
+    near = written(nearest_nodes(n, *at, k=25).select("node_id", "user_id", "d"), "near")
+    # edges here join nodes of one user
+    own = n.join(near.select("user_id").distinct(), "user_id", "left_semi")
+    return graph.knowledge_traversal(n, t.edges(own), at, 25, NAMES, near)
 
 
 @add("g08_listed_connections", f"WITH {EDGES} SELECT src, dst, round(b.time - a.time, 6) AS dt, round(sqrt(greatest(0.0::DOUBLE, a.distance * a.distance + b.distance * b.distance - 2.0 * a.distance * b.distance * cos(radians(a.angle - b.angle))) + (a.time - b.time) * (a.time - b.time)), 6) AS d FROM edges JOIN nodes a ON a.node_id = src JOIN nodes b ON b.node_id = dst")
