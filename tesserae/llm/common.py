@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import re
 import tempfile
 import uuid
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable
 
-import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,9 +18,14 @@ CONTROL_SPACES = "\t\n\x0b\x0c\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where that is unset, a temporary folder in local mode, as all runs on one machine there; on a cluster that is an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="shared-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
@@ -29,12 +36,47 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def map_batches(df: DataFrame, rows: Callable[[Iterator[dict]], Iterable[pa.RecordBatch]], schema: str, size: int = 0) -> DataFrame:
-    """``mapInArrow`` with a function of record batches."""
-    return df.mapInArrow(rows, schema)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_path = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Removes the files of staged tables; only once all that was made of them is written itself."""
+    for table in tables:
+        if path := getattr(table, "staged_path", None):
+            jvm, session = table.sparkSession._jvm, table.sparkSession._jsparkSession
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(session.sessionState().newHadoopConf()).delete(place, True)
+
+
+def _reads_files(docs: DataFrame) -> bool:
+    """Whether ``docs`` is a Parquet table, or columns and rows picked from one."""
+    if "_metadata" in docs.columns:
+        return False
+    plan = docs._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias") and plan.children().size() == 1:
+        plan = plan.children().apply(0)
+    return plan.nodeName() == "LogicalRelation"
+
+
+def keyed(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with a column that tells its rows apart: a hash of the file's path, and the place in the file.
+
+    It is the same in every scan, however files are split and whichever executors read them. What is not read straight
+    from Parquet files is written first. The first result is the one to read on, as the second call may write again.
+    """
+    key = F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    if _reads_files(docs):
+        with contextlib.suppress(AnalysisException):  # other file formats have no row_index
+            return docs.select("*", key.alias(name))
+    return staged(docs, "rows").select("*", key.alias(name))
+
+
+def free_name(docs: DataFrame, base: str) -> str:
+    """A column name that ``docs`` has not."""
+    taken = {c.lower() for c in docs.columns}
+    return next(n for n in (base + "_" * k for k in range(len(taken) + 1)) if n.lower() not in taken)
 
 
 def word_count(text: Column) -> Column:

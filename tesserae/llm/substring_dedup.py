@@ -12,8 +12,8 @@ A passage is a window of ``length`` words whose sequence also starts elsewhere,
 
 Documents without candidates drop out at each level. Null text has no words. Repeated rows count as separate documents,
 so all of their windows repeat. Documents shorter than ``length`` keep all words. Ids may be null or repeat; extra
-columns are ignored; an empty table gives an empty result. ``docs`` is read three times in the same order: pass a table
-of files, or ``staged(docs)``.
+columns are ignored; an empty table gives an empty result. ``docs`` is read several times; its rows are told apart by
+file and place in it, so how scans are split does not matter.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_digest
 
-from tesserae.llm.common import staged, utf8
+from tesserae.llm.common import keyed, staged, utf8
 
 LENGTH = 35
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
@@ -83,14 +83,20 @@ def anchors(hashes: np.ndarray, length: int) -> np.ndarray:
     return sliding_window_view(short, span).argmin(axis=1) + np.arange(len(hashes) - length + 1)
 
 
+#: What tells rows apart.
+_UID = "_uid struct<file:long,row:long>"
+
+
 def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.monotonically_increasing_id().alias("_uid"), F.col(id_col).alias("_id"), utf8(text_col).alias("_text"))
+    return keyed(docs.select(F.col(id_col).alias("_id"), utf8(text_col).alias("_text")), "_uid")
 
 
-def _arrays(uids: list[int], *columns: list[np.ndarray]) -> list[pa.Array]:
-    sizes = [len(x) for x in columns[0]]
+def _spread(uid: pa.Array, rows: list[int], columns: list[list[np.ndarray]], names: list[str]) -> pa.RecordBatch:
+    """A batch of arrays put end to end, each with the uid of the row it is of."""
     flat = [np.concatenate(c) if c else np.empty(0, np.int64) for c in columns]
-    return [*(pa.array(x.view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64)) for x in flat), pa.array(np.repeat(np.array(uids, np.int64), sizes))]
+    sizes = [len(x) for x in columns[0]]
+    arrays = [pa.array(x.view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64)) for x in flat]
+    return pa.RecordBatch.from_arrays([uid.take(pa.array(np.repeat(np.array(rows, np.int64), sizes))), *arrays], names=["_uid", *names])
 
 
 def span_hashes(hashes: np.ndarray, first: np.ndarray, size: np.ndarray, which: int) -> np.ndarray:
@@ -120,41 +126,37 @@ def candidate_runs(hashes: np.ndarray, length: int, ats: np.ndarray) -> list[np.
     return [starts, ends, key, *(span_hashes(hashes, starts, ends - starts + length, k) for k in (0, 1))]
 
 
-def repeated_windows(docs: DataFrame, text_col: str = "text", length: int = LENGTH, id_col: str = "doc_id") -> DataFrame:
-    """``(_uid, ranges)``: rows of ``docs`` by number, and first and last starts of repeated windows."""
-    numbered = _numbered(docs, id_col, text_col).select("_uid", "_text")
+def repeated_windows(numbered: DataFrame, length: int = LENGTH) -> DataFrame:
+    """``(_uid, ranges)``: first and last starts of repeated windows, by the rows of ``numbered(_uid, _text)``."""
     short = levels(length)[0]
 
     def first(batches):
         for batch in batches:
-            uids, columns = [], [[], []]
-            for uid, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            rows, columns = [], [[], []]
+            for row, text in enumerate(batch.column(1).to_pylist()):
                 hashes = word_hashes(text.split())
                 at = np.unique(anchors(hashes, length))
                 if len(at):
-                    uids.append(uid)
+                    rows.append(row)
                     columns[0].append(at)
                     columns[1].append(window_hashes(hashes, short)[at])
-            at, h, uid = _arrays(uids, *columns)
-            yield pa.RecordBatch.from_arrays([uid, at, h], names=["_uid", "at", "h"])
+            yield _spread(batch.column(0), rows, columns, ["at", "h"])
 
-    live = staged(numbered.mapInArrow(first, "_uid long, at long, h long"), "windows")
+    live = staged(numbered.select("_uid", "_text").mapInArrow(first, f"{_UID}, at long, h long"), "windows")
     # written, so that the join has two plain exchanges and a hash that very many windows share can be split
     again = staged(live.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "again")
     wanted = live.join(again, "h", "left_semi").groupBy("_uid").agg(F.collect_list("at").alias("ats"))
 
     def full(batches):
         for batch in batches:
-            uids, columns = [], [[], [], [], [], []]
-            for uid, text, ats in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                found = candidate_runs(word_hashes(text.split()), length, np.array(ats, np.int64))
-                uids.append(uid)
-                for column, values in zip(columns, found, strict=True):
+            rows, columns = [], [[], [], [], [], []]
+            for row, (text, ats) in enumerate(zip(*(batch.column(k).to_pylist() for k in (1, 2)), strict=True)):
+                rows.append(row)
+                for column, values in zip(columns, candidate_runs(word_hashes(text.split()), length, np.array(ats, np.int64)), strict=True):
                     column.append(values)
-            *made, uid = _arrays(uids, *columns)
-            yield pa.RecordBatch.from_arrays([uid, *made], names=["_uid", "i", "j", "key", "a", "b"])
+            yield _spread(batch.column(0), rows, columns, ["i", "j", "key", "a", "b"])
 
-    runs = numbered.join(wanted, "_uid").select("_uid", "_text", "ats").mapInArrow(full, "_uid long, i long, j long, key long, a long, b long")
+    runs = numbered.join(wanted, "_uid").select("_uid", "_text", "ats").mapInArrow(full, f"{_UID}, i long, j long, key long, a long, b long")
     runs = staged(runs, "runs")
     kinds = staged(runs.groupBy("key", "a", "b").agg(F.count("*").alias("n"), F.min(F.struct("_uid", "i", "j")).alias("one")), "kinds")
     whole = runs.join(kinds.where("n > 1").select("a", "b"), ["a", "b"], "left_semi").select("_uid", "i", "j")
@@ -173,23 +175,24 @@ def _windows(numbered: DataFrame, shown: DataFrame, length: int) -> DataFrame:
 
     def rows(batches):
         for batch in batches:
-            uids, columns = [], [[], [], [], []]
-            for uid, text, rs in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            here, columns = [], [[], [], [], []]
+            for row, (text, rs) in enumerate(zip(*(batch.column(k).to_pylist() for k in (1, 2)), strict=True)):
                 hashes = word_hashes(text.split())
                 start = np.concatenate([np.arange(r["i"], r["j"] + 1) for r in rs])
                 single = np.concatenate([np.full(r["j"] - r["i"] + 1, int(r["single"])) for r in rs])
-                uids.append(uid)
+                here.append(row)
                 for column, values in zip(columns, (start, window_hashes(hashes, length)[start], window_hashes(hashes, length, 1)[start], single), strict=True):
                     column.append(values)
-            start, a, b, single, uid = _arrays(uids, *columns)
-            yield pa.RecordBatch.from_arrays([uid, start, a, b, single.cast(pa.bool_())], names=["_uid", "start", "a", "b", "single"])
+            yield _spread(batch.column(0), here, columns, ["start", "a", "b", "single"])
 
-    return numbered.join(wanted, "_uid").select("_uid", "_text", "rs").mapInArrow(rows, "_uid long, start long, a long, b long, single boolean")
+    found = numbered.join(wanted, "_uid").select("_uid", "_text", "rs").mapInArrow(rows, f"{_UID}, start long, a long, b long, single long")
+    return found.withColumn("single", F.col("single") == 1)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, with_text: bool = False) -> DataFrame:
     """``(id, n_words, n_removed, kept_sha256)`` and, if asked for, ``kept``: the words left, joined by one space."""
-    found = repeated_windows(docs, text_col, length, id_col)
+    numbered = _numbered(docs, id_col, text_col)
+    found = repeated_windows(numbered, length)
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text
 
@@ -217,5 +220,5 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 columns, names = [*columns, pa.array(left, pa.string())], [*names, "kept"]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    joined = _numbered(docs, id_col, text_col).join(staged(found, "ranges"), "_uid", "left")
+    joined = numbered.join(staged(found, "ranges"), "_uid", "left")
     return joined.select("_id", "_text", "ranges").mapInArrow(rows, schema)
