@@ -2,8 +2,11 @@
 
 A lexicon of word beginnings is learned from labelled documents. Its trie is intersected with Levenshtein automata, made
 deterministic as words are met, so that a word is followed through all terms at once and left as soon as none can match.
-Hits count apart when they are exact, misspelled or quoted: marks of quotation around a hit, or words of reporting in the
-window before it, turn abuse into its mention. A logistic model over these counts gives the score.
+A term may have an ending of up to ``ENDING`` letters after it, misspelled or not. Words shorter than ``MIN_PREFIX`` are
+terms as a whole only. Terms are at most ``MAX_PREFIX`` letters long, as longer words are told by their beginnings.
+The window of ``CONTEXT`` words on either side scores how far a hit is a mention, from 0 (abuse) to 1: marks of
+quotation on both sides, or on one, and words of reporting before the hit, the nearer the more. Each hit is shared out by
+that score between exact or misspelled ones and quoted ones, and a logistic model over the sums gives the score.
 
 Labels of held-out rows, language, source and id are never looked at by a score. At most ``FIT_ROWS`` labelled rows are
 fitted, chosen by a hash of their id. Null and empty text has no hits and gets the score of a text without any. Rows
@@ -17,23 +20,28 @@ import math
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
 from xxhash import xxh64_intdigest
 
 from tesserae.llm.common import staged, utf8
 
 FIT_ROWS = 20_000
-MAX_TERMS = 400
-CANDIDATES = 4000
 COVERS = 3
 MIN_PREFIX, MAX_PREFIX = 4, 14
+#: Letters that may follow a misspelled term, and what ends a term that is a whole word.
+ENDING = 4
+WHOLE = "$"
+#: Similarity of three-word shingles from which labelled texts are copies for the fit.
+COPIES = 0.5
 #: Evidence (in nats, against the base rate) that a beginning needs to become a term.
 EVIDENCE = 12.0
 CACHE_WORDS = 300_000
 CONTEXT = 6
+#: How far a word of reporting right before a hit makes it a mention.
+REPORTED = 0.75
 MARKS = "\"“”„«»‹›"
 REPORTING = frozenset("said says quote quoted quotes wrote called word term phrase slur example mot dit wort sagte palabra dijo".split())
 EDGES = ".,;:!?()[]{}'’‘`*#$%&|<>-_/\\" + MARKS
@@ -58,12 +66,13 @@ class Automaton:
     states: list[frozenset] = field(default_factory=list)
     number: dict[frozenset, int] = field(default_factory=dict)
     moves: dict[tuple[int, str], int] = field(default_factory=dict)
+    closes: dict[tuple[int, str], bool] = field(default_factory=dict)  # whether that move reads the last letter of a term, within its errors
     exact: list[bool] = field(default_factory=list)  # whether a term has been read without errors
     near: list[bool] = field(default_factory=list)  # whether the word, ending here, is a term within its errors
 
     def __init__(self, terms: list[str]):
         self.children, self.term, self.room = [{}], [0], [0]
-        self.states, self.number, self.moves, self.exact, self.near = [], {}, {}, [], []
+        self.states, self.number, self.moves, self.closes, self.exact, self.near = [], {}, {}, {}, [], []
         for word in terms:
             node, allowed = 0, errors_allowed(len(word))
             self.room[0] = max(self.room[0], allowed)
@@ -105,30 +114,37 @@ class Automaton:
         key = (state, char)
         if key not in self.moves:
             made: set[tuple[int, int]] = set()
+            closes = False
             for node, errors in self.states[state]:
                 for letter, child in self.children[node].items():
                     more = errors + (letter != char)
                     if more <= self.room[child]:
                         made.add((child, more))
+                        closes |= letter == char and 0 < self.term[child] and more <= errors_allowed(self.term[child])
                 if errors < self.room[node]:
                     made.add((node, errors + 1))
-            self.moves[key] = self._state(self._close(made))
+            self.moves[key], self.closes[key] = self._state(self._close(made)), closes
         return self.moves[key]
 
     def match(self, word: str) -> int:
-        """1: begins with a term; 2: is a term but for a few errors; 0: neither."""
-        state = self.start
-        for char in word:
-            state = self.step(state, char)
+        """1: begins with a term; 2: is or begins with a term but for a few errors, with a short ending at most; 0: neither."""
+        state, ended = self.start, -1 - ENDING
+        for at, char in enumerate(word):
+            before, state = state, self.step(state, char)
             if self.exact[state]:
                 return 1
+            if self.closes[before, char]:
+                ended = at
             if state == self.dead:
-                return 0
-        return 2 if self.near[state] else 0
+                break
+        else:
+            if self.exact[self.step(state, WHOLE)]:
+                return 1
+        return 2 if self.near[state] or ended >= 0 and len(word) - 1 - ended <= ENDING else 0
 
 
 class Reader:
-    """Features of texts for one lexicon; results for words are kept, up to a bound."""
+    """Features of texts for one lexicon; the kinds of words are kept, up to a bound of ``CACHE_WORDS``, then found anew."""
 
     def __init__(self, terms: list[str]):
         self.automaton = Automaton(terms)
@@ -147,43 +163,61 @@ class Reader:
         kinds = list(map(self.kept.get, words))
         if None in kinds:
             kinds = list(map(self.kind, words))
-        exact = near = quoted = 0
+        exact = near = quoted = 0.0
         for i in [i for i, x in enumerate(kinds) if x]:
-            if self.mentioned(words, i):
-                quoted += 1
-            elif kinds[i] == 1:
-                exact += 1
+            mention = self.mention(words, i)
+            quoted += mention
+            if kinds[i] == 1:
+                exact += 1 - mention
             else:
-                near += 1
+                near += 1 - mention
         n = len(words)
-        return [math.log1p(exact), math.log1p(near), math.log1p(quoted), float(exact > 0), float(near > 0), 10 * exact / (n + 50)]
+        return [math.log1p(exact), math.log1p(near), math.log1p(quoted), min(1.0, exact), min(1.0, near), 10 * exact / (n + 50)]
 
     @staticmethod
-    def mentioned(words: list[str], i: int) -> bool:
-        """Whether the hit stands within marks of quotation, or after a word of reporting that opens them."""
+    def mention(words: list[str], i: int) -> float:
+        """How far the window shows that the hit is quoted or spoken of, not meant: 0 to 1."""
         before = words[max(0, i - CONTEXT) : i]
         after = words[i + 1 : i + 1 + CONTEXT]
         opens = any(w[0] in MARKS for w in [*before, words[i]])
         closes = any(w.rstrip(".,;:!?")[-1:] in MARKS for w in [words[i], *after] if w.rstrip(".,;:!?"))
-        return opens and (closes or any(w.strip(EDGES) in REPORTING for w in before))
+        told = max((1 - k / CONTEXT for k, w in enumerate(reversed(before)) if w.strip(EDGES) in REPORTING), default=0.0)
+        return 1 - (1 - (opens + closes) / 2) * (1 - REPORTED * told)
 
 
 def beginnings(words: set[str]) -> set[str]:
-    return {w[:n] for w in words for n in range(MIN_PREFIX, min(len(w), MAX_PREFIX) + 1)}
+    """Of words what could be a term: beginnings, and short words as a whole."""
+    return {w[:n] for w in words for n in range(MIN_PREFIX, min(len(w), MAX_PREFIX) + 1)} | {w + WHOLE for w in words if 0 < len(w) < MIN_PREFIX}
+
+
+def _shingles(text: bytes) -> set[int]:
+    w = text.lower().split()
+    return set(map(xxh64_intdigest, map(b" ".join, zip(w, w[1:], w[2:], strict=False)))) or {xxh64_intdigest(b" ".join(w))}
+
+
+def distinct_texts(texts: list[bytes]) -> list[bytes]:
+    """Texts that are no copies of one before: under ``COPIES`` of their shingles are shared."""
+    kept: list[tuple[bytes, set[int]]] = []
+    for text in sorted(texts):
+        own = _shingles(text)
+        if not any(len(own & other) >= COPIES * len(own | other) for _, other in kept):
+            kept.append((text, own))
+    return [text for text, _ in kept]
 
 
 def _distinct(sample: DataFrame) -> DataFrame:
-    """One text of each run of copies: texts with the same smallest hash of three words count once, toxic if one is."""
+    """Labelled texts with copies of one label counted once; they meet by the smallest hash of three words."""
 
     def rows(batches):
         for batch in batches:
-            keys = []
-            for text in batch.column(0).to_pylist():
-                w = text.lower().split()
-                keys.append(min(map(xxh64_intdigest, map(b" ".join, zip(w, w[1:], w[2:], strict=False))), default=xxh64_intdigest(b" ".join(w))) >> 1)
+            keys = [min(_shingles(text)) >> 1 for text in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *batch.columns], names=["key", "text", "toxic"])
 
-    return sample.mapInArrow(rows, "key long, text binary, toxic boolean").groupBy("key", "toxic").agg(F.min("text").alias("text")).select("text", "toxic")
+    def one(key, frame):  # the sample's rows at most
+        texts = distinct_texts(frame["text"].tolist())
+        return pd.DataFrame({"text": texts, "toxic": [key[1]] * len(texts)})
+
+    return sample.mapInArrow(rows, "key long, text binary, toxic boolean").groupBy("key", "toxic").applyInPandas(one, "text binary, toxic boolean")
 
 
 def prefix_counts(sample: DataFrame) -> DataFrame:
@@ -222,7 +256,7 @@ def choose_terms(candidates: list[tuple[str, int]], toxic: list[list[int]], tota
     open_ = set(range(len(toxic)))
     left = [COVERS] * len(toxic)
     chosen: list[str] = []
-    while open_ and len(chosen) < MAX_TERMS:
+    while open_:
         rate = len(open_) / total
 
         def evidence(k: int) -> float:
@@ -280,7 +314,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
     share = F.least(F.col("pos") / n, F.lit(1 - 1e-9))
     evidence = F.col("pos") * F.log(F.greatest(share, F.lit(1e-9)) / rate) + F.col("neg") * F.log((1 - share) / (1 - rate))
     strong = prefix_counts(sample).where((F.col("pos") > rate * n) & (share > 0.6) & (F.col("pos") > 2)).withColumn("evidence", evidence)
-    best = strong.orderBy(F.desc("evidence"), "prefix").limit(CANDIDATES).collect()
+    best = strong.orderBy(F.desc("evidence"), "prefix").collect()  # of the sample, as all that follows
     number = {r["prefix"]: k for k, r in enumerate(best)}
 
     def holds(batches):
@@ -315,8 +349,8 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         for batch in batches:
             x = np.array([reader.features(t) for t in batch.column(1).to_pylist()]).reshape(-1, FEATURES)
             p = 1 / (1 + np.exp(-np.clip(w[0] + x @ w[1:], -30, 30)))
-            hits = np.rint(np.expm1(x[:, :3])).astype(np.int32)
+            hits = np.round(np.expm1(x[:, :3]), 6)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), pa.array((p >= 0.5).astype(np.int32)), *(pa.array(hits[:, k]) for k in range(3))], names=["id", "score", "predicted", "exact_hits", "near_hits", "quoted_hits"])
 
-    scored = docs.select(F.col(id_col).alias("id"), utf8(text_col).alias("text")).mapInArrow(rows, f"id {kind}, score double, predicted int, exact_hits int, near_hits int, quoted_hits int")
+    scored = docs.select(F.col(id_col).alias("id"), utf8(text_col).alias("text")).mapInArrow(rows, f"id {kind}, score double, predicted int, exact_hits double, near_hits double, quoted_hits double")
     return scored.select("id", held_out("id").alias("held_out"), "score", "predicted", "exact_hits", "near_hits", "quoted_hits")
