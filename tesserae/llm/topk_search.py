@@ -1,13 +1,18 @@
 """Exact top-k by integer inner product: a Voronoi join of queries and data.
 
-Queries are grouped by their nearest pivot. Summaries bound each group: its radius, and the lowest k-th best score that
-its queries reach on a bounded sample of the data, which no true k-th best is below. A vector can score at most
-p.x + r|x| against a group with pivot p and radius r; it is sent to the groups whose bound that reaches, and to no other.
-Each group is solved against blocks of bounded size, and the blocks' best are merged. Ties go to the smaller id.
+Queries and data are both grouped by their nearest pivot; a group of queries and one of data are cells of the same
+diagram. Summaries tell of each group its size and radius, and of query groups the lowest k-th best score that their
+queries reach on a bounded sample of the data, which no true k-th best is below. From pivots and radii follows how much
+any pair of a query group and a data cell can score; only pairs that can reach the query group's bound are kept. In
+these, a vector is sent to a query group only if p.x + r|x| reaches the bound too, with the group's pivot p and radius r;
+and queries are sent only to the cells whose vectors may come. Cells of many rows are cut into blocks, and large query
+groups into parts, so that each pair solved in one task is of bounded size. The best of all pairs are merged.
+Ties go to the smaller id.
 
 Vectors that are null or hold null or non-finite components take no part, nor do rows without an id. Shorter vectors
-count as filled up with zeros. A query is never compared with rows of its own id. Repeated rows each count. Fewer than k
-candidates give fewer rows; no queries or an empty table give an empty result. Extra columns are ignored.
+count as filled up with zeros. A query is never compared with rows of its own id. Repeated rows each count, also as
+queries: each gets its own k. Fewer than k candidates give fewer rows; no queries or an empty table give an empty
+result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,11 +26,14 @@ from pyspark.sql.window import Window
 from tesserae.llm.common import staged
 
 SCALE = 256
-#: Vectors in the sample that bounds scores and gives the pivots.
+#: Vectors in the sample that bounds scores.
 SAMPLE = 2048
-#: Queries a group has on average, and data rows of a block solved in one task.
-GROUP_ROWS = 256
-BLOCK_ROWS = 20_000
+#: Rows that a cell has on average, and pivots at most.
+CELL_ROWS, PIVOTS = 256, 1024
+#: Queries and data rows of a pair solved in one task.
+GROUP_ROWS, BLOCK_ROWS = 2048, 20_000
+#: Numbers of a batch's table of rows by pivots, which sets how many rows are taken at once.
+TABLE = 1 << 21
 
 
 def _usable(vector: str) -> Column:
@@ -53,76 +61,130 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a @ b.T
 
 
-def best(scores: np.ndarray, query_ids: np.ndarray, ids: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-    """(query, id, score) of each query's k best; ``ids`` ascend, so stable sorting leaves ties to the smaller."""
+def best(scores: np.ndarray, queries: list[tuple], ids: np.ndarray, k: int) -> list[tuple]:
+    """(query, id, score) of each query's k best; queries are (number, id), ``ids`` ascend, so that ties go to the smaller."""
     out = []
-    for query, row in zip(query_ids.tolist(), scores, strict=True):
+    for (number, query), row in zip(queries, scores, strict=True):
         own = ids != query
         row, left = row[own], ids[own]
         if len(row) > k:
             high = np.flatnonzero(row >= np.partition(row, len(row) - k)[len(row) - k])
             row, left = row[high], left[high]
         for j in np.argsort(-row, kind="stable")[:k]:
-            out.append((query, int(left[j]), int(row[j])))
+            out.append((number, query, int(left[j]), int(row[j])))
     return out
 
 
-def top_k(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 50, k: int = 5, sample_size: int = SAMPLE, group_rows: int = GROUP_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def nearest_pivots(x: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pivot closest to each row, the first of equals, and a distance that the true one is not above."""
+    p = np.pad(pivots, ((0, 0), (0, x.shape[1] - pivots.shape[1]))).astype(float)
+    x = x.astype(float)
+    apart = (x**2).sum(axis=1)[:, None] - 2 * x @ p.T + (p**2).sum(axis=1)[None]
+    cell = apart.argmin(axis=1)
+    return cell, np.sqrt(((x - p[cell]) ** 2).sum(axis=1)) * (1 + 1e-9)
+
+
+def reaching(pivots: np.ndarray, radius: np.ndarray, low: np.ndarray, cell_radius: np.ndarray) -> np.ndarray:
+    """Whether any query of a group can score its bound with any row of a cell; a negative radius means none there.
+
+    For q = p + u and x = c + v with |u| <= r and |v| <= s, q.x is at most p.c + r|c| + s|p| + rs.
+    """
+    p = pivots.astype(float)
+    size = np.sqrt((p**2).sum(axis=1))
+    most = p @ p.T + radius[:, None] * size[None] + cell_radius[None] * size[:, None] + radius[:, None] * cell_radius[None]
+    return (radius[:, None] >= 0) & (cell_radius[None] >= 0) & (most + np.abs(most) * 1e-9 + 1 >= low[:, None])
+
+
+def top_k(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 50, k: int = 5, sample_size: int = SAMPLE, group_rows: int = GROUP_ROWS, block_rows: int = BLOCK_ROWS, cell_rows: int = CELL_ROWS) -> DataFrame:
     """``(query_id, rank, vec_id, score)`` for the rows whose id is divisible by ``every``, against all others."""
     whole = F.transform(F.col(vector_col), lambda x: F.floor(F.lit(float(SCALE)) * x.cast("double")).cast("long"))
-    data = staged(table.where(F.col(id_col).isNotNull() & _usable(vector_col)).select(F.col(id_col).cast("long").alias("id"), whole.alias("x")), "vectors")
-    queries = data.where(F.col("id") % every == 0)
-    total, asked = data.count(), queries.count()
+    data = staged(table.where(F.col(id_col).isNotNull() & _usable(vector_col)).select(F.col(id_col).cast("long").alias("id"), whole.alias("x"), F.monotonically_increasing_id().alias("number")), "vectors")
+    spark, total = data.sparkSession, data.count()
     sample = data.orderBy(F.xxhash64("id"), "id").limit(sample_size).collect()
     known = matrix([np.array(r["x"], np.int64) for r in sample])
     known_ids = np.array([r["id"] for r in sample], np.int64)
-    pivots = known[: max(1, min(len(known), -(-asked // group_rows)))]
-    seen = data.sparkSession.sparkContext.broadcast((known, known_ids, pivots))  # sample_size rows at most
+    pivots = known[: max(1, min(len(known), PIVOTS, -(-total // cell_rows)))]
+    seen = spark.sparkContext.broadcast((known, known_ids, pivots))  # sample_size rows at most
 
-    def group_queries(frames):
+    def place(frames):
+        """Cells of all rows, and of queries what they score on the sample at least."""
         known, known_ids, pivots = seen.value
-        for frame in frames:
-            x = matrix([np.asarray(v, np.int64) for v in frame["x"]], pivots.shape[1])
-            width = x.shape[1]
-            p = np.pad(pivots, ((0, 0), (0, width - pivots.shape[1]))).astype(float)
-            apart = ((x[:, None, :].astype(float) - p[None]) ** 2).sum(axis=2)
-            group = apart.argmin(axis=1) if len(x) else np.zeros(0, int)
-            scores = products(x, known)
-            scores = np.where(frame["id"].to_numpy()[:, None] == known_ids[None], np.iinfo(np.int64).min, scores)
-            low = np.partition(scores, -k, axis=1)[:, -k] if scores.shape[1] > k else np.full(len(x), np.iinfo(np.int64).min)
-            yield pd.DataFrame({"grp": group, "id": frame["id"], "x": frame["x"], "r": np.sqrt(apart.min(axis=1)) if len(x) else [], "low": low})
-
-    grouped = staged(queries.mapInPandas(group_queries, "grp int, id long, x array<long>, r double, low long"), "queries")
-    bounds = {r["grp"]: (r["r"], r["low"]) for r in grouped.groupBy("grp").agg(F.max("r").alias("r"), F.min("low").alias("low")).collect()}  # a row for each pivot
-    blocks = max(1, -(-total // block_rows))
-    limits = data.sparkSession.sparkContext.broadcast(bounds)
+        step = max(1, TABLE // max(1, len(pivots), len(known)))
+        for whole in frames:
+            for at in range(0, len(whole), step):
+                frame = whole.iloc[at : at + step]
+                x = matrix([np.asarray(v, np.int64) for v in frame["x"]], pivots.shape[1])
+                cell, r = nearest_pivots(x, pivots)
+                asks, ids = (frame["id"] % every == 0).to_numpy(), frame["id"].to_numpy()
+                scores = np.where(ids[asks][:, None] == known_ids[None], np.iinfo(np.int64).min, products(x[asks], known))
+                low = np.full(len(x), np.iinfo(np.int64).min)
+                if asks.any() and scores.shape[1] > k:
+                    low[asks] = np.partition(scores, -k, axis=1)[:, -k]
+                yield pd.DataFrame({"cell": cell, "number": frame["number"], "id": ids, "x": frame["x"], "r": r, "asks": asks, "low": low})
+
+    placed = staged(data.mapInPandas(place, "cell int, number long, id long, x array<long>, r double, asks boolean, low long"), "placed")
+    told = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("r").alias("s"), F.count_if("asks").alias("asking"), F.max(F.when(F.col("asks"), F.col("r"))).alias("r"), F.min(F.when(F.col("asks"), F.col("low"))).alias("low")).collect()  # a row for each pivot
+    count = len(pivots)
+    radius, low, cell_radius = np.full(count, -1.0), np.zeros(count), np.full(count, -1.0)
+    blocks, parts = np.ones(count, np.int64), np.ones(count, np.int64)
+    for c in told:
+        cell_radius[c["cell"]], blocks[c["cell"]] = c["s"], -(-c["n"] // block_rows)
+        if c["asking"]:
+            radius[c["cell"]], low[c["cell"]], parts[c["cell"]] = c["r"], c["low"], -(-c["asking"] // group_rows)
+    pairs = reaching(pivots, radius, low, cell_radius)
+    limits = spark.sparkContext.broadcast((radius, low, blocks, parts, pairs))  # a square of pivots at most
+    key = "grp int, part int, cell int, block int"
+
+    def split(numbers: np.ndarray, into: np.ndarray) -> np.ndarray:
+        """A part for each row, by a hash of its number."""
+        mixed = (numbers.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+        return (mixed % into.astype(np.uint64)).astype(np.int64)
 
     def send(frames):
+        """Rows to every part of the query groups that they can reach."""
         _, _, pivots = seen.value
-        groups = sorted(limits.value)
-        r, low = (np.array([limits.value[g][j] for g in groups], float) for j in (0, 1))
+        radius, low, blocks, parts, pairs = limits.value
+        for whole in frames:
+            step = max(1, TABLE // max(1, len(pivots)))
+            for at in range(0, len(whole), step):
+                frame = whole.iloc[at : at + step]
+                x, cell = matrix([np.asarray(v, np.int64) for v in frame["x"]], pivots.shape[1]), frame["cell"].to_numpy()
+                p = np.pad(pivots, ((0, 0), (0, x.shape[1] - pivots.shape[1])))
+                most = products(x, p) + np.sqrt((x.astype(float) ** 2).sum(axis=1))[:, None] * radius[None]
+                # the slack covers rounding; it can only send more
+                rows, groups = np.nonzero(pairs.T[cell] & (most + np.abs(most) * 1e-9 + 1 >= low[None]))
+                again = parts[groups]
+                part = np.arange(again.sum()) - np.repeat(again.cumsum() - again, again)
+                rows, groups = np.repeat(rows, again), np.repeat(groups, again)
+                block = split(frame["number"].to_numpy(), blocks[cell])
+                yield pd.DataFrame({"grp": groups, "part": part, "cell": cell[rows], "block": block[rows], "id": frame["id"].to_numpy()[rows], "x": frame["x"].to_numpy()[rows]})
+
+    def ask(frames):
+        """Queries to every block of the cells that their group can reach."""
+        _, _, blocks, parts, pairs = limits.value
         for frame in frames:
-            x = matrix([np.asarray(v, np.int64) for v in frame["x"]], pivots.shape[1])
-            p = np.pad(pivots, ((0, 0), (0, x.shape[1] - pivots.shape[1])))[groups]
-            at_most = products(x, p) + np.sqrt((x.astype(float) ** 2).sum(axis=1))[:, None] * r[None]
-            # the slack covers rounding; it can only send more
-            rows, cols = np.nonzero(at_most * (1 + np.sign(at_most) * 1e-9) + 1 >= low[None])
-            yield pd.DataFrame({"grp": np.array(groups, int)[cols], "block": frame["block"].to_numpy()[rows], "id": frame["id"].to_numpy()[rows], "x": frame["x"].to_numpy()[rows]})
+            group = frame["cell"].to_numpy()
+            rows, cells = np.nonzero(pairs[group])
+            again = blocks[cells]
+            block = np.arange(again.sum()) - np.repeat(again.cumsum() - again, again)
+            rows, cells = np.repeat(rows, again), np.repeat(cells, again)
+            part = split(frame["number"].to_numpy(), parts[group])
+            yield pd.DataFrame({"grp": group[rows], "part": part[rows], "cell": cells, "block": block, "number": frame["number"].to_numpy()[rows], "id": frame["id"].to_numpy()[rows], "x": frame["x"].to_numpy()[rows]})
 
-    block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    sent = data.withColumn("block", block).mapInPandas(send, "grp int, block int, id long, x array<long>")
-    asking = grouped.select("grp", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "id", "x")
+    sent = placed.select("cell", "number", "id", "x").mapInPandas(send, f"{key}, id long, x array<long>")
+    asking = placed.where("asks").select("cell", "number", "id", "x").mapInPandas(ask, f"{key}, number long, id long, x array<long>")
 
     def solve(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple[int, int, int]] = []
+        out: list[tuple] = []
         if len(left) and len(right):
-            right = right.sort_values("id")
+            right = right.sort_values("id", kind="stable")
             ids, x = right["id"].to_numpy(), matrix([np.asarray(v, np.int64) for v in right["x"]])
-            for at in range(0, len(left), 512):
-                part = left.iloc[at : at + 512]
-                out += best(products(matrix([np.asarray(v, np.int64) for v in part["x"]]), x), part["id"].to_numpy(), ids, k)
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
-
-    found = asking.groupBy("grp", "block").cogroup(sent.groupBy("grp", "block")).applyInPandas(solve, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+            for at in range(0, len(left), 256):
+                some = left.iloc[at : at + 256]
+                out += best(products(matrix([np.asarray(v, np.int64) for v in some["x"]]), x), list(zip(some["number"].tolist(), some["id"].tolist(), strict=True)), ids, k)
+        return pd.DataFrame(out, columns=["number", "query_id", "vec_id", "score"]).astype("int64")
+
+    by = ["grp", "part", "cell", "block"]
+    found = asking.groupBy(*by).cogroup(sent.groupBy(*by)).applyInPandas(solve, "number long, query_id long, vec_id long, score long")
+    order = Window.partitionBy("number", "query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
