@@ -5,11 +5,14 @@ every language and source a minimum covariance determinant estimate is fitted an
 distance are rejected. The fit starts from medians and quartile ranges and takes concentration steps: the ``COVERAGE``
 part of the rows nearest to the estimate gives the next one. Vectors are rounded to fixed steps, so that all sums are
 exact and reruns agree; the nearest part is cut on fine bins of the distance, so that one aggregation makes a step and
-no group is ever sorted or gathered. Groups under ``MIN_ROWS`` rows are pooled by language, then altogether; where even
-that is too few, only the base rules judge.
+no group is ever sorted or gathered. Every group has an estimate of its own, drawn towards that of its language as if
+``MIN_ROWS`` more rows were like it, and languages towards that of all; so small groups are judged much as their language
+is and large ones by themselves, without a switch. The estimate of all is drawn towards a wide one by ``WIDE_ROWS`` rows,
+so in a table of a few rows hardly any is far.
 
 Null text has no words and fails the base rules; null language and source are values like any other. Repeated rows
-weigh as often as they appear. An empty table gives an empty result. Added columns start with ``q_``.
+weigh as often as they appear. An empty table gives an empty result. Added columns start with ``q_``; columns of the
+names in ``ADDED`` are replaced, all others kept.
 """
 
 from __future__ import annotations
@@ -25,6 +28,7 @@ WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 COVERAGE = 0.75
+#: Rows of the wider group that weigh with each group's own.
 MIN_ROWS = 200
 STEPS = 5
 #: Probability under a normal bulk that a clean text is kept.
@@ -36,6 +40,9 @@ PRIOR_WORDS, PRIOR_LENGTH, PRIOR_LINES = 50.0, 5.0, 10.0
 #: Statistics of a vector and the spread each has at least.
 AXES = {"q_length": 0.03, "q_symbols": 0.03, "q_lines": 0.1, "q_repeats": 0.1, "q_stutter": 0.03}
 P = len(AXES)
+#: Rows and spread of the estimate that the whole table is drawn towards.
+WIDE_ROWS, WIDE = 6, 0.5
+ADDED = ("q_n_words", "q_word_chars", "q_n_symbols", "q_n_lines", "q_n_dup_lines", "q_n_repeat_words", "q_n_stutter", "q_base_failed", *AXES, "q_distance", "q_kept")
 BINS_PER_LOG = 64
 
 
@@ -115,25 +122,6 @@ def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return counted.withColumns({name: F.round(x * GRID).cast("long") for name, x in vector.items()} | {"q_base_failed": failed})
 
 
-def _named(frame: DataFrame, table: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
-    """A join on values that may be null; ``table`` is a written table, broadcast only if its measured size allows it."""
-    on = None
-    for left, right in pairs:
-        same = F.col(left).eqNullSafe(F.col(right))
-        on = same if on is None else on & same
-    return frame.join(table, on).drop(*[right for _, right in pairs])
-
-
-def _keys(fitted: DataFrame, lang_col: str, source_col: str, min_rows: int) -> DataFrame:
-    """``(k_lang, k_source, q_group)`` for every language and source: itself, its language's small ones, or all small ones."""
-    counts = fitted.groupBy(F.col(lang_col).alias("k_lang"), F.col(source_col).alias("k_source")).agg(F.sum(F.when(F.col("q_base_failed"), 0).otherwise(1)).alias("n"))
-    small = F.col("n") < min_rows
-    pooled = F.sum(F.when(small, F.col("n")).otherwise(0)).over(Window.partitionBy("k_lang"))
-    text = F.to_json(F.struct(F.lit("own").alias("level"), "k_lang", "k_source"))
-    by_lang = F.to_json(F.struct(F.lit("lang").alias("level"), "k_lang"))
-    return counts.withColumn("pooled", pooled).select("k_lang", "k_source", F.when(~small, text).when(F.col("pooled") >= min_rows, by_lang).otherwise("all").alias("q_group"))
-
-
 def _cholesky(cov: list[list[Column]]) -> dict[str, Column]:
     """Columns l_ij of the lower factor, to be added one after the other."""
     out: dict[str, Column] = {}
@@ -171,38 +159,75 @@ def distance() -> Column:
     return total
 
 
-def fit(vectors: DataFrame, coverage: float = COVERAGE, steps: int = STEPS) -> DataFrame:
-    """Estimates ``(g, mu_i, l_ij)`` for every ``q_group`` of ``vectors``, a written table."""
-    axes = list(AXES)
+SUMS = ("n", *[f"s_{i}" for i in range(P)], *[f"s_{i}{j}" for i in range(P) for j in range(i + 1)])
+
+
+def _start(vectors: DataFrame) -> DataFrame:
+    """``(g, mu_i, l_ij)``: medians and quartile ranges of every ``q_group``."""
     floor = list(AXES.values())
-    quartiles = vectors.groupBy(F.col("q_group").alias("g")).agg(*[F.percentile(a, [0.25, 0.5, 0.75]).alias(f"p_{i}") for i, a in enumerate(axes)])
+    quartiles = vectors.groupBy(F.col("q_group").alias("g")).agg(*[F.percentile(a, [0.25, 0.5, 0.75]).alias(f"p_{i}") for i, a in enumerate(AXES)])
     start = {f"mu_{i}": F.col(f"p_{i}").getItem(1) for i in range(P)}
     spread = [F.greatest((F.col(f"p_{i}").getItem(2) - F.col(f"p_{i}").getItem(0)) / 1.349, F.lit(floor[i] * GRID)) for i in range(P)]
     factor = {f"l_{i}{j}": spread[i] if i == j else F.lit(0.0) for i in range(P) for j in range(i + 1)}
-    estimate = staged(quartiles.select("g", *[c.alias(n) for n, c in (start | factor).items()]), "estimate")
+    return staged(quartiles.select("g", *[c.alias(n) for n, c in (start | factor).items()]), "estimate")
+
+
+def _wide(start: DataFrame) -> DataFrame:
+    """Sums of ``WIDE_ROWS`` rows spread widely around the medians."""
+    mu = [F.col(f"mu_{i}") for i in range(P)]
+    sums = {"n": F.lit(float(WIDE_ROWS))} | {f"s_{i}": WIDE_ROWS * mu[i] for i in range(P)} | {f"s_{i}{j}": WIDE_ROWS * (mu[i] * mu[j] + F.lit((WIDE * GRID) ** 2 if i == j else 0.0)) for i in range(P) for j in range(i + 1)}
+    return start.select("g", *[c.alias(n) for n, c in sums.items()])
+
+
+def _concentrated(vectors: DataFrame, estimate: DataFrame, prior: DataFrame | None, coverage: float, steps: int) -> tuple[DataFrame, DataFrame]:
+    """Estimates ``(g, mu_i, l_ij)`` after so many steps, and the sums they are of; sums of ``prior`` are added for each group."""
+    axes = list(AXES)
     # a covariance of the nearest part is too small by this factor where the bulk is normal
     scale = coverage / chi_square_cdf(chi_square_quantile(coverage, P), P + 2)
     sums = {"n": F.count("*")} | {f"s_{i}": F.sum(a) for i, a in enumerate(axes)} | {f"s_{i}{j}": F.sum(F.col(axes[i]) * F.col(axes[j])) for i in range(P) for j in range(i + 1)}
+    moments = prior
     for _ in range(steps):
-        near = _named(vectors, estimate.withColumnRenamed("g", "k_g"), [("q_group", "k_g")])
+        near = vectors.join(estimate.withColumnRenamed("g", "k_g"), F.col("q_group") == F.col("k_g"))
         binned = near.groupBy(F.col("q_group").alias("g"), F.floor(F.log1p(distance()) * BINS_PER_LOG).alias("bin")).agg(*[c.alias(n) for n, c in sums.items()])
         upto = Window.partitionBy("g").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         binned = binned.withColumn("before", F.sum("n").over(upto) - F.col("n")).withColumn("all", F.sum("n").over(Window.partitionBy("g")))
         nearest = binned.where(F.col("before") < F.col("all") * coverage)
         moments = nearest.groupBy("g").agg(*[F.sum(n).alias(n) for n in sums])
+        if prior is not None:
+            own = moments.select("g", *[F.col(n).alias(f"own_{n}") for n in sums])
+            moments = own.join(prior, "g").select("g", *[(F.col(f"own_{n}") + F.col(n)).alias(n) for n in sums])
+        moments = staged(moments, "moments")
         estimate = staged(_estimate(moments, scale), "estimate")
+    return estimate, moments
+
+
+def fit(vectors: DataFrame, coverage: float = COVERAGE, steps: int = STEPS) -> DataFrame:
+    """Estimates ``(g, mu_i, l_ij)`` for every ``q_group`` of ``vectors``, a written table, each by itself."""
+    return _concentrated(vectors, _start(vectors), None, coverage, steps)[0]
+
+
+def fit_levels(vectors: DataFrame, rows: int = MIN_ROWS, coverage: float = COVERAGE, steps: int = STEPS) -> DataFrame:
+    """Estimates for every ``q_own`` of ``vectors``, drawn towards those of its ``q_wider``, and these towards that of all."""
+    whole = vectors.select(F.lit("all").alias("q_group"), *AXES)
+    start = _start(whole)
+    estimate, moments = _concentrated(whole, start, _wide(start), coverage, steps)
+    for level, above in (("q_wider", F.lit("all")), ("q_own", F.col("q_wider"))):
+        here = vectors.select(F.col(level).alias("q_group"), *AXES)
+        kin = vectors.select(F.col(level).alias("g"), above.alias("above")).distinct()
+        share = F.lit(float(rows)) / F.col("n")
+        prior = kin.join(moments.withColumnRenamed("g", "above"), "above").select("g", *[(F.col(n) * share).alias(n) for n in SUMS])
+        # steps start from the wider estimate, so that what is most of a small group does not make its own
+        begin = staged(kin.join(estimate.withColumnRenamed("g", "above"), "above").drop("above"), "estimate")
+        estimate, moments = _concentrated(here, begin, staged(prior, "prior"), coverage, steps)
     return estimate
 
 
 def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", keep_text: bool = True, min_rows: int = MIN_ROWS) -> DataFrame:
     """``docs`` with its counts, q_base_failed, q_distance (null where no estimate applies) and q_kept."""
-    counted = statistics(docs, text_col)
-    counted = staged(counted if keep_text else counted.drop(text_col), "statistics")
-    keys = staged(_keys(counted, lang_col, source_col, min_rows), "keys")
-    grouped = _named(counted, keys, [(lang_col, "k_lang"), (source_col, "k_source")])
-    vectors = staged(grouped.where(~F.col("q_base_failed")).select("q_group", *AXES), "vectors")
-    enough = vectors.groupBy("q_group").agg(F.count("*").alias("n")).where(F.col("n") >= min_rows).select(F.col("q_group").alias("k_g"))
-    estimate = fit(vectors).join(enough, F.col("g") == F.col("k_g")).drop("k_g")
-    far = grouped.join(staged(estimate, "estimate"), F.col("q_group") == F.col("g"), "left")
+    extra = [c for c in docs.columns if c not in ADDED and (keep_text or c != text_col)]
+    packed = docs.select(F.struct(*extra).alias("q_row"), F.col(text_col).alias("q_text"), F.to_json(F.struct(F.col(lang_col).alias("lang"))).alias("q_wider"), F.to_json(F.struct(F.col(lang_col).alias("lang"), F.col(source_col).alias("source"))).alias("q_own"))
+    counted = staged(statistics(packed, "q_text").drop("q_text"), "statistics")
+    vectors = staged(counted.where(~F.col("q_base_failed")).select("q_own", "q_wider", *AXES), "vectors")
+    far = counted.join(staged(fit_levels(vectors, min_rows), "estimate"), F.col("q_own") == F.col("g"), "left")
     far = far.withColumn("q_distance", distance()).withColumn("q_kept", ~F.col("q_base_failed") & (F.coalesce(F.col("q_distance"), F.lit(0.0)) <= chi_square_quantile(CONFIDENCE, P)))
-    return far.drop("g", "q_group", *[f"mu_{i}" for i in range(P)], *[f"l_{i}{j}" for i in range(P) for j in range(i + 1)])
+    return far.select("q_row.*", *ADDED)
