@@ -8,8 +8,10 @@ and calls are written as canonical JSON: keys sorted, no white space, one form f
 Defined results: a call without a result is ``open``; a result without a call is an ``orphan`` and comes after the calls;
 of several results the first by position counts and their number is given. A repeated call id in a conversation keeps its
 first row. Calls in a cycle come last, with ``cyclic`` set. Arguments that are null or no JSON object give the error
-``arguments``; an unknown tool gives ``tool``. Null ids never link: such calls stay open and such results orphans. Empty
-tables give empty results; extra columns are ignored.
+``arguments``; an unknown tool gives ``tool``. Null ids never link: such calls stay open and such results orphans, each
+different row by itself. Empty tables give empty results; extra columns are ignored. In ``conversation_calls`` turns
+without a conversation or a number have null ids too. Turns of one conversation, and the rows of its output, are ordered
+in one task; rounds go by the depth of the calls that build on later ones.
 """
 
 from __future__ import annotations
@@ -77,7 +79,8 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> Data
     """
     first = calls.groupBy("conv", "call_id", F.when(F.col("conv").isNull() | F.col("call_id").isNull(), F.struct("pos", "tool", "arguments")).alias("_own")).agg(F.min_by(F.struct("tool", "arguments", F.coalesce("after", F.array().cast("array<string>")).alias("after")), F.struct("pos", "tool", "arguments")).alias("c"), F.min("pos").alias("pos"))
     first = staged(first.select("conv", "call_id", "pos", "c.tool", "c.arguments", "c.after"), "calls")
-    answered = results.groupBy("conv", "call_id").agg(F.min_by("content", F.struct("pos", "content")).alias("content"), F.count("*").alias("n_results"), F.min("pos").alias("result_pos")).withColumnsRenamed({"conv": "r_conv", "call_id": "r_call"})
+    lone = F.when(F.col("conv").isNull() | F.col("call_id").isNull(), F.struct("pos", "content"))  # kept apart, but for equal rows
+    answered = results.groupBy("conv", "call_id", lone.alias("_own")).agg(F.min_by("content", F.struct("pos", "content")).alias("content"), F.count("*").alias("n_results"), F.min("pos").alias("result_pos")).drop("_own").withColumnsRenamed({"conv": "r_conv", "call_id": "r_call"})
     linked = first.join(answered.hint("shuffle_hash"), (F.col("conv") == F.col("r_conv")) & (F.col("call_id") == F.col("r_call")), "full")
     is_call = F.col("pos").isNotNull() | F.col("tool").isNotNull() | F.col("call_id").isNotNull()
     linked = linked.withColumn("status", F.when(~is_call, "orphan").when(F.col("n_results").isNull(), "open").otherwise("linked"))

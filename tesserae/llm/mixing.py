@@ -8,7 +8,8 @@ summed, the cut is put where the words taken stay within the target, and the buc
 added. Reruns agree.
 
 Null text has size 0; null sources form one source, last in order. Repeated rows are taken alike. A source of size 0
-has target 0. An empty table gives an empty result. Extra columns are carried along; those added start with ``mix_``.
+has target 0. An empty table gives an empty result. Extra columns are carried along, but for those of the names in
+``OWN``, which are replaced. The table of sources, a row for each, is ordered in one task; documents never are.
 """
 
 from __future__ import annotations
@@ -24,10 +25,13 @@ MAX_EPOCHS = 3.0
 SEED = 17
 #: Hash buckets that a source is cut into, in all.
 BUCKETS = 4096
+#: Names of columns that are added or used meanwhile.
+OWN = ("mix_size", "mix_source_size", "mix_target", "mix_times", "mix_taken", "mix_bucket", "mix_source", "mix_whole", "mix_cut", "mix_extra", "mix_copy")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, max_epochs: float = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
     """``docs`` with mix_size, mix_source_size, mix_target, mix_times (how often the document is taken) and mix_taken (its words)."""
+    docs = docs.drop(*[c for c in OWN if c not in (id_col, text_col, source_col)])
     size = word_count(F.col(text_col))
     bucketed = docs.withColumn("mix_size", size).withColumn("mix_bucket", F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), F.col("mix_size")), F.lit(BUCKETS)).cast("int"))
     summed = staged(bucketed.groupBy(F.col(source_col).alias("mix_source"), "mix_bucket").agg(F.sum("mix_size").alias("part")), "mix")
