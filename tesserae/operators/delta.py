@@ -77,7 +77,10 @@ def apply_delta(original: DataFrame, delta: DataFrame) -> DataFrame:
 
 def compress_chains(chain: DataFrame, key: str, keep: int, order: list[str]) -> DataFrame:
     """All but the last ``keep`` deltas of a key become one that holds their merge; states stay what they were."""
-    ranked = chain.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(*[F.desc(c) for c in order])))
+    from tesserae.sources.store import written
+
+    # histories are read and sorted once; all that follows reads what was written
+    ranked = written(chain.select(key, *order, "content", F.row_number().over(Window.partitionBy(key).orderBy(*[F.desc(c) for c in order])).alias("_r")), "ranked")
     old = ranked.where(F.col("_r") > keep)
     merged = fold_states(old, key, order).join(old.groupBy(key).agg(*[F.max_by(c, F.struct(*order)).alias(c) for c in order], F.count("*").alias("merged")), key)
     return ranked.where(F.col("_r") <= keep).select(key, *order, "content", F.lit(1).cast("long").alias("merged")).unionByName(merged.select(key, *order, "content", "merged"))

@@ -67,7 +67,9 @@ def shared_values(df: DataFrame, key: str, values: str) -> DataFrame:
     """``(key, other, shared)``: how many values two rows have in common."""
     spread = df.select(key, F.explode(F.array_distinct(values)).alias("v"))
     other = spread.select(F.col(key).alias("other"), "v")
-    return spread.join(other, "v").where(F.col(key) != F.col("other")).groupBy(key, "other").agg(F.count("*").alias("shared"))
+    # each pair meets once and is turned round after it is counted
+    once = spread.join(other, "v").where(F.col(key) < F.col("other")).groupBy(key, "other").agg(F.count("*").alias("shared"))
+    return once.unionByName(once.select(F.col("other").alias(key), F.col(key).alias("other"), "shared"))
 
 
 def undirected(edges: DataFrame) -> DataFrame:

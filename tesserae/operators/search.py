@@ -91,6 +91,8 @@ def knn_join(queries: DataFrame, data: DataFrame, k: int, cell: float, columns:
     """
     from tesserae.sources.store import written
 
+    # the data are written once, narrow; each round reads them again
+    data = written(data.select("node_id", *columns), "knn_data")
     spans = data.agg(*[F.min(c).alias(f"lo_{c}") for c in columns], *[F.max(c).alias(f"hi_{c}") for c in columns]).first()
     ends = queries.agg(*[F.min(c).alias(f"lo_{c}") for c in columns], *[F.max(c).alias(f"hi_{c}") for c in columns]).first()
     if spans[0] is None or ends[0] is None:

@@ -104,13 +104,20 @@ def w07(spark, d):
     return s.select("user_id", "moment", *[F.col("content").getItem(n).cast("double").alias(n) for n in NAMES])
 
 
-@add("w09_compacted_chains", None)
+@add("w09_compacted_chains", f"WITH {NODES}, l AS (SELECT user_id, count(*) AS before, list([CAST(k % 7 + 1 AS BIGINT)] ORDER BY t, node_id) AS l FROM nodes GROUP BY 1) SELECT user_id, before, len(list_reduce(l, lambda a, x: CASE WHEN a[len(a)] + x[1] <= 10 THEN list_concat(a[1:len(a) - 1], [a[len(a)] + x[1]]) ELSE list_concat(a, x) END)) AS after FROM l")
 def w09(spark, d):
     c = t.nodes(spark, d).withColumn("ops", F.col("k") % 7 + 1)
     return delta.compact_chains(c, "user_id", ORDER, "ops", 10)
 
 
-@add("a09_change_frequency", None)
+@add(
+    "a09_change_frequency",
+    f"""WITH {NODES}, l AS (SELECT user_id, list_prepend([{{'cur': min(t), 'n': CAST(0 AS BIGINT)}}], list([{{'cur': t, 'n': CAST(1 AS BIGINT)}}] ORDER BY t)) AS l FROM nodes GROUP BY 1),
+    f AS (SELECT user_id, list_reduce(l, lambda a, x: CASE WHEN x[1].cur <= a[len(a)].cur + {DAY}::DOUBLE THEN list_concat(a[1:len(a) - 1], [{{'cur': a[len(a)].cur, 'n': a[len(a)].n + 1}}])
+        ELSE list_concat(a, [{{'cur': a[len(a)].cur + floor((x[1].cur - a[len(a)].cur) / {DAY}::DOUBLE) * {DAY}::DOUBLE, 'n': CAST(1 AS BIGINT)}}]) END) AS w FROM l),
+    u AS (SELECT user_id, unnest(w) AS w FROM f)
+    SELECT user_id, w.cur AS window_start, w.n AS n FROM u""",
+)
 def a09(spark, d):
     return aggregates.change_frequency(t.nodes(spark, d), "user_id", "t", DAY)
 

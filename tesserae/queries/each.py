@@ -14,8 +14,11 @@ from tesserae.plans.criteria import OPERATORS, Composite, Content, Fields, Inval
 from tesserae.queries.common import CHAIN, EDGES, FACTS, NODES, VECTORS, VERSIONS, Registry, r6
 from tesserae.queries.deltas import DAY, NAMES, ORDER, START, _flat, _last
 from tesserae.queries.filters import SQUARE, _polygon_sql
+from tesserae.queries.storage import _streamed
 from tesserae.sources import store
 from tesserae.sources import tables as t
+from tesserae.sources import text as text_source
+from tesserae.streaming import feed
 
 QUERIES = Registry()
 add = QUERIES.add
@@ -889,3 +892,101 @@ def u10(spark, d):
 @add("u11_combined_request", f"WITH {NODES} SELECT node_id FROM nodes WHERE t BETWEEN {START} AND {START + 5 * DAY} AND power(x, 2) + power(y, 2) <= 0.5 * 0.5::DOUBLE ORDER BY node_id LIMIT 100")
 def u11(spark, d):
     return results.combined_query(t.nodes(spark, d), {"point": (0.0, 0.0), "distance": 0.5}, {"start": START, "end": START + 5 * DAY})["rows"].select("node_id")
+
+
+# more sources, streams, ids
+
+
+@add("sc16_message_blocks", "SELECT c_custkey, i AS index, CASE WHEN i % 2 = 0 THEN 'user' ELSE 'assistant' END AS role, c_name || ' ' || i AS content FROM customer, (VALUES (CAST(0 AS BIGINT)), (CAST(1 AS BIGINT)), (CAST(2 AS BIGINT))) v(i)")
+def sc16(spark, d):
+    parts = [F.concat(F.lit(f"### {'Assistant' if i % 2 else 'User'}\n\n"), "c_name", F.lit(f" {i}\n\n")) for i in range(3)]
+    m = t.table(spark, d, "customer").select("c_custkey", F.concat(*parts).alias("messages"))
+    return text_source.parse_messages(m).select("c_custkey", F.col("index").cast("long").alias("index"), "role", "content")
+
+
+@add("sc17_conversation_files", "SELECT CAST(0 AS BIGINT) AS index, 'user' AS role, n_name AS content, 'About ' || n_name AS title FROM nation")
+def sc17(spark, d):
+    """A Markdown file for each nation, written and loaded whole."""
+    path = f"{store.shared_dir(spark)}/markdown-{uuid.uuid4().hex}"
+    n = t.table(spark, d, "nation")
+    value = F.concat(F.lit("# About "), "n_name", F.lit("\n\n## Messages\n\n### User\n\n"), "n_name", F.lit("\n"))
+    n.select(F.concat("n_nationkey", F.lit("")).alias("part"), value.alias("value")).write.partitionBy("part").text(path)
+    return text_source.load_conversations(spark, f"{path}/*").select(F.col("index").cast("long").alias("index"), "role", "content", "title")
+
+
+@add("sc20_upsert_one", f"WITH {VERSIONS} SELECT node_id, CAST(max(version) + CASE WHEN node_id = (SELECT min(node_id) FROM versions) THEN 1 ELSE 0 END AS BIGINT) AS version FROM versions GROUP BY node_id")
+def sc20o(spark, d):
+    v = t.versions(spark, d).select("node_id", "version", "status")
+    one = v.agg(F.min("node_id").alias("node_id")).withColumn("status", F.lit("one"))
+    return store.latest(store.upsert(v, one)).select("node_id", "version")
+
+
+@add("g11_related_both_ways", "SELECT DISTINCT * FROM (SELECT c_custkey AS src, c_custkey + 1 AS dst FROM customer UNION ALL SELECT c_custkey + 1, c_custkey FROM customer)")
+def g11(spark, d):
+    from tesserae.operators import knowledge
+
+    c = t.table(spark, d, "customer").select(F.col("c_custkey").alias("a"), (F.col("c_custkey") + 1).alias("b"))
+    return knowledge.related_facts(c)
+
+
+@add("h13_enlarged_boxes", f"WITH {NODES} SELECT node_id, round(least(10.0, time), 6) AS t_lo, round(greatest(20.0, time), 6) AS t_hi, round(least(0.2, distance), 6) AS r_lo, round(greatest(0.4, distance), 6) AS r_hi FROM nodes")
+def h13(spark, d):
+    box = g.box_column(**{c: F.lit(x) for c, x in zip(g.BOX_FIELDS, (10.0, 20.0, 0.2, 0.4, 0.5, 1.0), strict=True)})
+    m = t.nodes(spark, d).select("node_id", g.box_enlarge(box, "time", "distance", "theta").alias("m"))
+    return m.select("node_id", *[r6(f"m.{c}").alias(c) for c in ("t_lo", "t_hi", "r_lo", "r_hi")])
+
+
+@add("h29_key_events", "SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 'first' WHEN c_custkey % 4 = 1 THEN 'second' ELSE c_name END AS event FROM customer")
+def h29(spark, d):
+    paras = F.array(F.lit("first"), F.lit("second"), F.col("c_name"))
+    c = t.table(spark, d, "customer")
+    made = F.when(F.col("c_custkey") % 4 == 0, text_source.key_event(paras, 0)).when(F.col("c_custkey") % 4 == 1, text_source.key_event(paras, 1)).otherwise(text_source.key_event(paras, 9))
+    return c.select("c_custkey", made.alias("event"))
+
+
+@add("h35_ordered_ids", "SELECT event_id AS node_id, lower(lpad(hex(epoch_us(ts) // 1000), 12, '0') || lpad(hex(3), 4, '0') || lpad(hex(user_id % 65536), 4, '0')) AS id FROM events")
+def h35(spark, d):
+    return t.nodes(spark, d).select("node_id", s.ordered_id(F.col("ts"), 3, F.col("user_id") % 65536).alias("id"))
+
+
+@add("h39_query_keys", "SELECT * FROM (VALUES ('same', true), ('other value', false), ('other limit', false)) v(name, equal)")
+def h39(spark, d):
+    q = Query(Content("k", ">", 20), 50)
+    made = {"same": Query(Content("k", ">", 20), 50), "other value": Query(Content("k", ">", 21), 50), "other limit": Query(Content("k", ">", 20), 51)}
+    return spark.createDataFrame([(n, x.key() == q.key()) for n, x in made.items()], "name string, equal boolean")
+
+
+@add("o12_costs", "SELECT * FROM (VALUES ('full scan', 1000.0::DOUBLE), ('filter', 5.0::DOUBLE), ('little filter', 1.0::DOUBLE), ('memory', 500.0::DOUBLE)) v(name, cost)")
+def o12(spark, d):
+    rows = [("full scan", cost.full_scan_cost(1000)), ("filter", cost.filter_cost(1000, 0.5)), ("little filter", cost.filter_cost(1000, 0.01)), ("memory", cost.memory_cost(1000))]
+    return spark.createDataFrame([(a, round(float(b), 6)) for a, b in rows], "name string, cost double")
+
+
+@add("o22_bulk_loaded", "SELECT event_id, user_id % 4 AS t_bucket FROM events")
+def o22(spark, d):
+    out = f"{store.shared_dir(spark)}/bulk-{uuid.uuid4().hex}"
+    e = t.table(spark, d, "events").select("event_id", (F.col("user_id") % 4).cast("long").alias("t_bucket"))
+    store.bulk_load(e, out)
+    return spark.read.schema("event_id long, t_bucket long").parquet(out)
+
+
+@add("r07_sliding_stream", "SELECT start, event_type, count(*) AS n FROM (SELECT event_type, unnest([time_bucket(INTERVAL '3 hours', ts), time_bucket(INTERVAL '3 hours', ts) - INTERVAL '3 hours']) AS start FROM events) GROUP BY 1, 2")
+def r07(spark, d):
+    out = _streamed(spark, d, "events", lambda x: feed.sliding(x, "ts", "6 hours", "3 hours", "60 days", "event_type"))
+    return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+
+
+@add("r02_only_updates", f"WITH {VERSIONS} SELECT node_id, version, 'node_updated' AS event FROM versions WHERE version > 1")
+def r02(spark, d):
+    return feed.change_feed(t.versions(spark, d), ["node_updated"]).select("node_id", "version", "event")
+
+
+@add("u07_node_requests", f"WITH {VERSIONS}, m AS (SELECT node_id, max(version) AS version FROM versions GROUP BY 1) SELECT node_id, version + CASE WHEN node_id % 10 = 1 THEN 1 ELSE 0 END AS version FROM m WHERE node_id % 10 <> 2 UNION ALL SELECT -1, CAST(1 AS BIGINT)")
+def u07(spark, d):
+    """One node created, some updated, some deleted; then all are read."""
+    v = t.versions(spark, d).select("node_id", "version", "status")
+    ids = v.select("node_id").distinct()
+    made = store.upsert(v, ids.limit(1).select(F.lit(-1).cast(v.schema["node_id"].dataType).alias("node_id"), F.lit("new").alias("status")))
+    made = store.upsert(made, ids.where("node_id % 10 = 1").withColumn("status", F.lit("changed")))
+    made = store.tombstones(made, ids.where("node_id % 10 = 2"))
+    return store.latest(made).select("node_id", "version")

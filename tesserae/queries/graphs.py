@@ -170,12 +170,16 @@ def sc18(spark, d):
     return text.paragraphs(t.table(spark, d, "documents"), "doc_id", blank="\n").groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
-@add("sc19_sentences", None)
+_SPACE = r"[\t\n\x0B\f\r ]+"
+_SENTENCES = f"WITH p AS (SELECT doc_id, string_split(regexp_replace(text, '([.!?]){_SPACE}', '\\1' || chr(1), 'g'), chr(1)) AS l FROM documents), e AS (SELECT doc_id, unnest(l) AS content, CAST(unnest(range(len(l))) AS INTEGER) AS sentence FROM p), s AS (SELECT doc_id, sentence, trim(content, ' ') AS content FROM e WHERE trim(content, ' ') <> '')"
+
+
+@add("sc19_sentences", f"{_SENTENCES} SELECT doc_id, sentence, content FROM s")
 def sc19(spark, d):
     return text.sentences(t.table(spark, d, "documents"), "doc_id")
 
 
-@add("h28_themes", None)
+@add("h28_themes", f"{_SENTENCES}, w AS (SELECT doc_id, sentence, regexp_split_to_array(trim(content, ' '), '{_SPACE}') AS w FROM s) SELECT doc_id, sentence, w[1] || ' ' || w[2] || ' ' || w[3] AS theme FROM w WHERE len(w) > 3")
 def h28(spark, d):
     from tesserae.functions.scalars import theme
 

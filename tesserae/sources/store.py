@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -11,11 +12,14 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where that is unset, a temporary folder in local mode, as all runs on one machine there; on a cluster that is an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        import tempfile
-
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="shared-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
@@ -92,7 +96,10 @@ class Conflict(RuntimeError):
 
 
 class Transaction:
-    """Reads from one snapshot, collects changes, and appends them if no key it changes has moved since."""
+    """Reads from one snapshot, collects changes, and appends them if no key it changes has moved since.
+
+    Files have no lock: of writers whose commits overlap in time both may pass, so commits to one table take turns.
+    """
 
     def __init__(self, spark: SparkSession, path: str, key: str = "node_id", version: str = "version"):
         self.spark, self.path, self.key, self.version = spark, path, key, version

@@ -327,3 +327,38 @@ def test_closure_without_bound(spark):
     assert sorted((r["node_id"], r["depth"]) for r in delta.chain_closure(edges, starts).collect()) == [(k, k - 1) for k in range(1, 13)]
     ring = spark.createDataFrame([(1, 2), (2, 3), (3, 1)], "src long, dst long")
     assert sorted((r["node_id"], r["depth"]) for r in delta.chain_closure(ring, starts).collect()) == [(1, 0), (2, 1), (3, 2)]
+
+
+def test_delta_position_stays_near(spark):
+    from tesserae.functions.scalars import delta_position
+
+    rows = spark.range(500).select(*[c.alias(n) for n, c in zip("tra", delta_position(F.lit(5.0), F.lit(0.15), F.lit(359.0), F.lit(1.0), F.col("id")), strict=True)]).collect()
+    assert all(r["t"] == 5.0 and 0.1 <= r["r"] <= 0.35 and (r["a"] >= 354 or r["a"] <= 4) for r in rows)
+    assert len({r["r"] for r in rows}) > 100 and any(r["r"] == 0.1 for r in rows)
+
+
+def test_incremental_nearest_is_lazy_and_ascending(spark):
+    from tesserae.operators.search import incremental_nearest
+
+    df = spark.range(1000).select(F.col("id").alias("node_id"), F.abs(F.col("id") - 500).cast("double").alias("x"))
+    first = [r["d"] for _, r in zip(range(5), incremental_nearest(df, F.col("x")).toLocalIterator(), strict=False)]
+    assert first == [0.0, 1.0, 1.0, 2.0, 2.0]
+    assert incremental_nearest(df, F.col("x"), max_results=7, max_distance=2.0).count() == 5
+
+
+def test_row_cap_bounds_queries_without_a_limit(spark):
+    from tesserae.plans.criteria import Content, Query
+
+    df = spark.range(100).select(F.col("id").alias("node_id"), F.col("id").alias("k"))
+    assert Query(Content("k", ">=", 10)).run(df, row_cap=50).count() == 50
+    assert Query(Content("k", ">=", 10), 60).run(df, row_cap=50).count() == 60
+    assert Query(Content("k", ">=", 10)).run(df).count() == 90
+
+
+def test_optimise_all_and_record_size(spark):
+    from tesserae.operators.delta import optimise_all, record_size
+
+    versions = spark.createDataFrame([(n, v) for n, top in ((1, 12), (2, 3)) for v in range(1, top + 1)], "node_id int, version int")
+    assert tuple(optimise_all(versions).first()) == (2, 15, 2, 4, 9)
+    sizes = spark.range(1).select(record_size(F.lit(None).cast("string"), F.lit("{}"), F.array(F.lit('{"a":1}'))).alias("a"), record_size(F.lit("x"), F.lit("{}"), F.array().cast("array<string>")).alias("b")).first()
+    assert tuple(sizes) == (49, 58)
