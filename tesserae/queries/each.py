@@ -385,14 +385,14 @@ def _boxes(spark, d):
     return t.nodes(spark, d).select("node_id", "time", "distance", "theta", "k", g.box_column(t_lo="time", t_hi=F.col("time") + F.col("k"), r_lo="distance", r_hi=F.col("distance") + 0.5, theta_lo="theta", theta_hi=hi).alias("box"))
 
 
-@add("a35_box_volume", f"WITH {NODES}, b AS (SELECT node_id, {_BOX} FROM nodes) SELECT node_id, round((t_hi - t_lo) * (r_hi * r_hi - r_lo * r_lo) * {_SPAN} / 2.0, 3) AS volume FROM b")
+@add("a35_box_volume", f"WITH {NODES}, b AS (SELECT node_id, {_BOX} FROM nodes) SELECT node_id, round((t_hi - t_lo) * (r_hi * r_hi - r_lo * r_lo) * {_SPAN} / 2.0, 8) AS volume FROM b")
 def a35(spark, d):
-    return _boxes(spark, d).select("node_id", F.round(g.box_volume(F.col("box")), 3).alias("volume"))
+    return _boxes(spark, d).select("node_id", F.round(g.box_volume(F.col("box")), 8).alias("volume"))
 
 
-@add("a36_box_margin", f"WITH {NODES}, b AS (SELECT node_id, {_BOX} FROM nodes) SELECT node_id, round(2.0 * ((t_hi - t_lo) + (r_hi - r_lo) + (r_hi + r_lo) / 2.0 * {_SPAN}), 3) AS margin FROM b")
+@add("a36_box_margin", f"WITH {NODES}, b AS (SELECT node_id, {_BOX} FROM nodes) SELECT node_id, round(2.0 * ((t_hi - t_lo) + (r_hi - r_lo) + (r_hi + r_lo) / 2.0 * {_SPAN}), 8) AS margin FROM b")
 def a36(spark, d):
-    return _boxes(spark, d).select("node_id", F.round(g.box_margin(F.col("box")), 3).alias("margin"))
+    return _boxes(spark, d).select("node_id", F.round(g.box_margin(F.col("box")), 8).alias("margin"))
 
 
 @add("a38_next_time", f"WITH {NODES} SELECT user_id, round(max(time) + 1, 6) AS time FROM nodes GROUP BY 1")
