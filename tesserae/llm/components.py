@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import staged
+from tesserae.llm.common import forget, staged
 
 
 def connected_components(links: DataFrame, src: str, dst: str, max_rounds: int = 60) -> DataFrame:
@@ -19,7 +19,8 @@ def connected_components(links: DataFrame, src: str, dst: str, max_rounds: int =
     edges = staged(ends.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "links")
     seen = None
     for _ in range(max_rounds):
-        edges = staged(_small_star(_large_star(edges)), "links")
+        last, edges = edges, staged(_small_star(_large_star(edges)), "links")
+        forget(last)
         now = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
         if (now["n"], now["x"]) == seen:
             break
