@@ -132,6 +132,12 @@ def _flips(bits: list[int], radius: int) -> list[int]:
     return [_signed(sum(1 << b for b in chosen)) for r in range(radius + 1) for chosen in combinations(bits, r)]
 
 
+def probe_keys(sample: np.ndarray, total: int, distance: int) -> list[tuple[int, int, int]]:
+    """(partition, mask, flip) of each key of a fingerprint: its bits under the mask, with those of the flip turned."""
+    chosen = allocate(sample, total, distance)
+    return [(k, _signed(int(_mask(bits))), flip) for k, (bits, t) in enumerate(chosen) for flip in _flips(bits, t)]
+
+
 def _ball(fp: Column, radius: int) -> Column:
     """Rows (z, near): every point within ``radius`` bits."""
     flips = _flips(list(range(BITS)), radius)
@@ -144,8 +150,7 @@ def links(distinct: DataFrame, distance: int, pairwise: int = PAIRWISE, sample_s
     Fingerprints are compared only where the columns ``within`` are the same.
     """
     sample = np.array([r["fp"] for r in distinct.orderBy(F.xxhash64("fp"), "fp").limit(sample_size).collect()], np.int64).view(np.uint64)
-    chosen = allocate(sample, distinct.count(), distance)
-    keys = [(k, _signed(int(_mask(bits))), flip) for k, (bits, t) in enumerate(chosen) for flip in _flips(bits, t)]
+    keys = probe_keys(sample, distinct.count(), distance)
     probe = F.array(*[F.struct(F.lit(k).alias("part"), F.col("fp").bitwiseAND(F.lit(m)).bitwiseXOR(F.lit(x)).alias("key")) for k, m, x in keys])
     probes = distinct.select(*within, "fp", F.explode(probe).alias("p")).select(*within, "p.part", "p.key", "fp")
     by = [*within, "part", "key"]
