@@ -6,7 +6,8 @@ fall into hash buckets and add the logarithm of their share of the bucket's coun
 
 The network is trained in numpy where the data lie: in each round every partition predicts a seeded share of positions of
 all of its documents, each position in one of the rounds, takes Adagrad steps from the common weights, and returns weights that are averaged by the number of
-positions, in groups of bounded size. So what is gathered grows with the corpus, while the driver sees a few models only.
+positions, in groups of bounded size. Which round a position is in goes by its text; how rows are split into partitions
+changes the order of steps, and scores a little. So what is gathered grows with the corpus, while the driver sees a few models only.
 
 Null or empty text has no words, score 0 and mean 0. Repeated rows are scored alike and weigh as often in training; ids
 may be null or repeat; extra columns are ignored; an empty table gives an empty result.
@@ -173,6 +174,17 @@ class Words(dict):
         return found
 
 
+def padded_line(split: list[list[bytes]], ids: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the words of texts in one line, parted by pads so that every word has all places on either side; where words are."""
+    pad = [VOCABULARY] * SIDE
+    flat: list[int] = list(pad)
+    for words in split:
+        flat.extend(map(ids.__getitem__, words))
+        flat.extend(pad)
+    line = np.array(flat)
+    return line, np.flatnonzero(line != VOCABULARY)
+
+
 def round_positions(draws: np.ndarray, round_: int, mask_rate: float) -> np.ndarray:
     """Positions that a round trains on, by a draw from [0, 1) for each that is the same in all rounds."""
     return np.flatnonzero((draws - round_ * mask_rate) % 1.0 < mask_rate)
@@ -186,32 +198,29 @@ def _train(docs: DataFrame, text_col: str, ids: dict[bytes, int], flat: np.ndarr
     def rows(batches):
         from pyspark import TaskContext
 
+        from tesserae.llm.packing import chunks
+
         part = TaskContext.get().partitionId()
         known, flat = common.value
         known = Words(known)
-        net, rng, seen = Network(flat), np.random.default_rng((SEED, part)), 0
-        around, middle = [], []
-
-        def learn():
-            nonlocal seen
-            net.step(np.array(around), np.array(middle))
-            seen += len(middle)
-            around.clear()
-            middle.clear()
-
+        net, seen = Network(flat), 0
+        beside = np.r_[-SIDE:0, 1 : SIDE + 1]
+        around, middle = np.empty((0, 2 * SIDE), np.int64), np.empty(0, np.int64)
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                words = text.lower().split()
-                n = len(words)
-                for i in round_positions(rng.random(n), round_, mask_rate).tolist():
-                    left = [known[w] for w in words[max(0, i - SIDE) : i]]
-                    right = [known[w] for w in words[i + 1 : i + 1 + SIDE]]
-                    around.append([VOCABULARY] * (SIDE - len(left)) + left + right + [VOCABULARY] * (SIDE - len(right)))
-                    middle.append(known[words[i]])
-                    if len(middle) == batch_size:
-                        learn()
-        if middle:
-            learn()
+            for run in chunks(batch.column(0).to_pylist(), 20_000):
+                split = [text.lower().split() for text in run]
+                line, at = padded_line(split, known)
+                draws = [np.random.default_rng((SEED, crc32(text))).random(len(words)) for text, words in zip(run, split, strict=True)]
+                at = at[round_positions(np.concatenate(draws), round_, mask_rate)]
+                around, middle = np.concatenate([around, line[at[:, None] + beside]]), np.concatenate([middle, line[at]])
+                done = len(middle) // batch_size * batch_size
+                for k in range(0, done, batch_size):
+                    net.step(around[k : k + batch_size], middle[k : k + batch_size])
+                seen += done
+                around, middle = around[done:], middle[done:]
+        if len(middle):
+            net.step(around, middle)
+            seen += len(middle)
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([seen], pa.int64()), pa.array([net.flat.tobytes()], pa.binary())], names=["part", "seen", "model"])
 
@@ -256,13 +265,7 @@ def document_scores(net: Network, ids: Words, texts: list[bytes]) -> tuple[list[
     """Words and summed conditional log-probabilities of every text."""
     split = [text.lower().split() for text in texts]
     sizes = [len(w) for w in split]
-    pad = [VOCABULARY] * SIDE
-    flat: list[int] = list(pad)
-    for words in split:
-        flat.extend(map(ids.__getitem__, words))
-        flat.extend(pad)
-    line = np.array(flat)
-    at = np.flatnonzero(line != VOCABULARY)
+    line, at = padded_line(split, ids)
     if not len(at):
         return sizes, [0.0] * len(texts)
     rows, here = net.e[line], (line != VOCABULARY).astype(np.float32)
