@@ -134,13 +134,15 @@ def test_top_k_with_repeated_ids(spark):
     rows = [(i % 90, [float(x) for x in rng.normal(size=6)]) for i in range(200)]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     for cells, blocks, group in ((4, 7, 3), (64, 20_000, 2048)):
-        got = sorted(map(tuple, topk_search.top_k(table, every=10, cell_rows=cells, block_rows=blocks, group_rows=group, sample_size=32).collect()))
+        got = sorted(map(tuple, topk_search.top_k(table, every=10, cell_rows=cells, block_rows=blocks, group_rows=group, sample_size=32, asking_rows=cells).collect()))
         assert got == brute_top(rows, 10, 5)
 
 
 def test_top_k_prunes():
     pivots = np.array([[100, 0], [0, 100], [-100, 0]])
-    pairs = topk_search.reaching(pivots, np.array([5.0, 5.0, -1.0]), np.array([9000.0, 9000.0, 0.0]), np.array([5.0, 5.0, 5.0]))
+    pairs = topk_search.reaching(pivots, np.array([5.0, 5.0, -1.0]), np.array([9000.0, 9000.0, 0.0]), pivots, np.array([5.0, 5.0, 5.0]))
+    first, blocks, count = topk_search.laid_out([3, 4, 25, 1, 0, 9, 2], 10)
+    assert (first.tolist(), blocks.tolist(), count) == ([0, 0, 1, 4, 4, 4, 5], [1, 1, 3, 1, 1, 1, 1], 6)
     assert pairs.tolist() == [[True, False, False], [False, True, False], [False, False, False]]
 
 
