@@ -41,6 +41,8 @@ SEED = 29
 FAN_IN = 16
 COUNTED = 200_000
 KEPT_WORDS = 300_000
+#: Bytes of text whose rare words a worker holds before it passes scores on.
+HELD_BYTES = 1_000_000
 
 
 def word_counts(docs: DataFrame, text_col: str) -> DataFrame:
@@ -285,6 +287,32 @@ def document_scores(net: Network, ids: Words, texts: list[bytes]) -> tuple[list[
     return sizes, (sums[ends] - sums[ends - np.array(sizes)]).tolist()
 
 
+def scored(batch: pa.RecordBatch, net: Network, top: dict[bytes, int], known: Words, limit: int = HELD_BYTES):
+    """``(id, n_words, total, rare)`` of ``(id, text)``, with the counts of words outside ``top``; ``limit`` bytes of text at a time."""
+    from tesserae.llm.packing import chunks
+
+    kind = pa.struct([("word", pa.binary()), ("k", pa.int64())])
+    at = 0
+    for part in chunks(batch.column(1).to_pylist(), limit):
+        n: list[int] = []
+        total: list[float] = []
+        words: list[bytes] = []
+        counts: list[int] = []
+        ends = [0]
+        for run in chunks(part, 60_000):
+            a, b = document_scores(net, known, run)
+            n += a
+            total += b
+        for text in part:
+            rare = Counter(w for w in text.lower().split() if w not in top)
+            words.extend(rare.keys())
+            counts.extend(rare.values())
+            ends.append(len(words))
+        pairs = pa.StructArray.from_arrays([pa.array(words, pa.binary()), pa.array(counts, pa.int64())], fields=list(kind))
+        yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), pa.array(n, pa.int64()), pa.array(total, pa.float64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)], names=["id", "n_words", "total", "rare"])
+        at += len(part)
+
+
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, mask_rate: float = MASK_RATE, batch_size: int = BATCH) -> DataFrame:
     """``(id, n_words, log_likelihood, mean)`` of every document."""
     counts = staged(word_counts(docs, text_col), "counts")
@@ -293,19 +321,10 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", round
     kind = docs.schema[id_col].dataType.simpleString()
 
     def rows(batches):
-        from tesserae.llm.packing import chunks
-
         known, flat = common.value
         top, known, net = known, Words(known), Network(flat)
         for batch in batches:
-            rare = [[{"word": w, "k": k} for w, k in Counter(w for w in text.lower().split() if w not in top).items()] for text in batch.column(1).to_pylist()]
-            n: list[int] = []
-            total: list[float] = []
-            for run in chunks(batch.column(1).to_pylist(), 60_000):
-                a, b = document_scores(net, known, run)
-                n += a
-                total += b
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(total, pa.float64()), pa.array(rare, pa.list_(pa.struct([("word", pa.binary()), ("k", pa.int64())])))], names=["id", "n_words", "total", "rare"])
+            yield from scored(batch, net, top, known)
 
     made = docs.select(F.col(id_col).alias("id"), utf8(text_col).alias("text")).mapInArrow(rows, f"id {kind}, n_words long, total double, rare array<struct<word: binary, k: long>>")
     # rows are told apart by a number that is written with them, as ids may repeat
