@@ -328,8 +328,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", round
 
     made = docs.select(F.col(id_col).alias("id"), utf8(text_col).alias("text")).mapInArrow(rows, f"id {kind}, n_words long, total double, rare array<struct<word: binary, k: long>>")
     # rows are told apart by a number that is written with them, as ids may repeat
-    scored = staged(made.withColumn("uid", F.monotonically_increasing_id()), "scored")
-    each = scored.select("uid", F.inline("rare")).hint("merge").join(bucket_shares(counts, ids), "word")
+    parts = staged(made.withColumn("uid", F.monotonically_increasing_id()), "scored")
+    each = parts.select("uid", F.inline("rare")).hint("merge").join(bucket_shares(counts, ids), "word")
     within = each.groupBy("uid").agg(F.sum(F.col("k") * F.col("share")).alias("within"))
-    both = scored.drop("rare").hint("merge").join(within, "uid", "left").withColumn("log_likelihood", F.col("total") + F.coalesce("within", F.lit(0.0)))
+    both = parts.drop("rare").hint("merge").join(within, "uid", "left").withColumn("log_likelihood", F.col("total") + F.coalesce("within", F.lit(0.0)))
     return both.select("id", "n_words", "log_likelihood", (F.col("log_likelihood") / F.greatest("n_words", F.lit(1))).alias("mean"))

@@ -69,3 +69,10 @@ def test_scores_are_passed_on_in_parts():
     rows = pa.Table.from_batches(made).to_pylist()
     assert [r["id"] for r in rows] == list(range(300)) and all(r["n_words"] == 4 for r in rows)
     assert all(r["rare"] == [{"word": b"rare%d" % k, "k": 2}, {"word": b"other%d" % k, "k": 1}] for k, r in enumerate(rows))
+
+
+def test_scores_of_documents(spark):
+    """The query's own way through ``scored``: a row for each document, rare words by their share."""
+    docs = staged(spark.createDataFrame([(1, "a b c"), (2, None), (3, "a rare b"), (3, "a rare b")], "doc_id long, text string"), "docs")
+    rows = sorted((r["id"], r["n_words"], round(r["mean"] * max(1, r["n_words"]) - r["log_likelihood"], 9)) for r in lm_scoring.score(docs, rounds=1).collect())
+    assert rows == [(1, 3, 0.0), (2, 0, 0.0), (3, 3, 0.0), (3, 3, 0.0)]
