@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from tesserae.llm import components, lm_scoring, near_copies
+from tesserae.llm import components, line_dedup, lm_scoring, near_copies
 from tesserae.llm.common import CLEANUP, only, shared_dir, staged
 
 
@@ -76,3 +76,28 @@ def test_scores_of_documents(spark):
     docs = staged(spark.createDataFrame([(1, "a b c"), (2, None), (3, "a rare b"), (3, "a rare b")], "doc_id long, text string"), "docs")
     rows = sorted((r["id"], r["n_words"], round(r["mean"] * max(1, r["n_words"]) - r["log_likelihood"], 9)) for r in lm_scoring.score(docs, rounds=1).collect())
     assert rows == [(1, 3, 0.0), (2, 0, 0.0), (3, 3, 0.0), (3, 3, 0.0)]
+
+
+def test_lines_miss_no_pair_under_a_large_key(spark, monkeypatch):
+    """All lines have one key and one fingerprint, so that each pair is to be found among all under the key."""
+    monkeypatch.setattr(line_dedup, "_keys", lambda tokens: F.array(F.xxhash64(F.lit(1))))
+    monkeypatch.setattr(line_dedup, "fingerprints", lambda lines: lines.select("uid", F.lit(5).cast("long").alias("fp")))
+    docs = staged(spark.createDataFrame(alike_pairs(40, 30, 1), "doc_id long, text string").repartition(3), "docs")
+    groups = {r["doc"]: r["grp"] for r in line_dedup.line_groups(docs).collect()}
+    assert all(groups[2 * k] == groups[2 * k + 1] for k in range(40)) and len(set(groups.values())) == 40
+
+
+def test_lines_apart(spark):
+    """All pairs of a key in different groups that fingerprints and lengths allow, however rows fall into blocks."""
+    rng = np.random.default_rng(5)
+    rows = [(int(k), int(i), int(rng.integers(0, 1 << 40)), int(rng.integers(0, 4)) if k else 7, int(rng.integers(90, 120))) for i, k in enumerate(rng.integers(0, 3, 90))]
+    rows += [(4, *r[1:]) for r in rows if r[0] == 1]  # lines that meet under two keys
+    want = set()
+    for a in rows:
+        for b in rows:
+            if a[0] == b[0] and a[1] < b[1] and a[3] != b[3] and (a[2] ^ b[2]).bit_count() <= line_dedup.DISTANCE and 10 * abs(a[4] - b[4]) <= max(a[4], b[4]):
+                want.add((b[1], a[1]))
+    frame = components.unsettled(spark.createDataFrame(rows, "key long, id long, fp long, own long, letters int"))
+    for block in (4, 512):
+        got = [tuple(r) for r in line_dedup._apart(frame, line_dedup.SIMILARITY, block).collect()]
+        assert len(got) == len(set(got)) and set(got) == want and want
