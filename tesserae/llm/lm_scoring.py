@@ -16,11 +16,13 @@ may be null or repeat; extra columns are ignored; an empty table gives an empty
 from __future__ import annotations
 
 from collections import Counter
+from itertools import repeat
 from zlib import crc32
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +32,7 @@ CLASSES = 64
 VOCABULARY = CLASSES * CLASSES
 BUCKETS = 256
 SIZE = 32
-SIDE = 4
+SIDE = 4  # a power of two, see windows
 ROUNDS = 2
 #: Share of positions that a round trains on; shares of successive rounds follow each other, so that all have their turn.
 MASK_RATE = 1 / ROUNDS
@@ -40,9 +42,21 @@ SEED = 29
 #: Models averaged in one task, and words counted by a worker before it passes counts on.
 FAN_IN = 16
 COUNTED = 200_000
-KEPT_WORDS = 300_000
-#: Bytes of text whose rare words a worker holds before it passes scores on.
+#: Bytes of text that a worker splits at a time, and whose rare words it holds before it passes scores on.
 HELD_BYTES = 1_000_000
+#: Positions that are scored at a time.
+SCORED = 8192
+
+
+def tokens(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The different words of ``text.lower().split()`` by first use, the place there of each word, and the number of words of each text."""
+    # bytes are taken as they are, whether or not they are UTF-8
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pa.array(texts, pa.binary()).view(pa.string())))
+    words = split.flatten().view(pa.binary())
+    there = pc.binary_length(words).to_numpy() > 0  # space at either end leaves an empty word
+    sizes = np.diff(np.concatenate([[0], there.cumsum()])[split.offsets.to_numpy()])
+    coded = words.filter(pa.array(there)).dictionary_encode()
+    return coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy(), sizes
 
 
 def word_counts(docs: DataFrame, text_col: str) -> DataFrame:
@@ -54,9 +68,12 @@ def word_counts(docs: DataFrame, text_col: str) -> DataFrame:
         def made():
             return pa.RecordBatch.from_arrays([pa.array(list(counts.keys()), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
 
+        from tesserae.llm.packing import chunks
+
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                counts.update(text.lower().split())
+            for run in chunks(batch.column(0).to_pylist(), HELD_BYTES):
+                words, codes, _ = tokens(run)
+                counts.update(dict(zip(words, np.bincount(codes, minlength=len(words)).tolist(), strict=True)))
                 if len(counts) > COUNTED:
                     yield made()
                     counts.clear()
@@ -96,53 +113,61 @@ class Network:
 
     def log_likelihood(self, h: np.ndarray, words: np.ndarray) -> np.ndarray:
         """log p of each word given its hidden row."""
-        cls, inside = words // CLASSES, words % CLASSES
         # hidden values lie within 1, so weights bound the logits; below that bound no maximum need be taken out
         if not hasattr(self, "calm"):
-            self.calm = bool(max((np.abs(self.c).sum(axis=0) + np.abs(self.cb)).max(), (np.abs(self.o).sum(axis=1) + np.abs(self.ob)).max()) < 80)
-        out = _log_softmax_at(h @ self.c + self.cb, cls, self.calm)
-        order = np.argsort(cls, kind="stable")
-        stops = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-        for k in range(CLASSES):
-            rows = order[stops[k] : stops[k + 1]]
-            if len(rows):
-                out[rows] += _log_softmax_at(h[rows] @ self.o[k] + self.ob[k], inside[rows], self.calm)
+            self.calm = bool(max((np.abs(self.c).sum(axis=0) + np.abs(self.cb)).max(), (np.abs(self.o).sum(axis=1) + np.abs(self.ob)).max()) < CALM)
+        order = np.argsort((words // CLASSES).astype(np.int16), kind="stable")
+        h, cls, inside = h[order], words[order] // CLASSES, words[order] % CLASSES
+        out = np.empty(len(words))
+        out[order] = _log_softmax_at(h @ self.c + self.cb, cls, self.calm) + _log_softmax_at(self.within(h, cls), inside, self.calm)
+        return out
+
+    def within(self, h: np.ndarray, cls: np.ndarray) -> np.ndarray:
+        """Logits of the words of each row's class; rows are in the order of classes."""
+        out = np.empty((len(h), CLASSES), np.float32)
+        for k, rows in _runs(cls):
+            np.matmul(h[rows], self.o[k], out=out[rows])
+            out[rows] += self.ob[k]
         return out
 
-    def step(self, around: np.ndarray, words: np.ndarray) -> None:
-        """One Adagrad step: ``around`` holds the ids on the left, then on the right; the pad id has a zero row."""
-        n = len(words)
-        there = around != VOCABULARY
-        share = np.hstack([there[:, half] / np.maximum(1, there[:, half].sum(axis=1, keepdims=True)) for half in (slice(0, SIDE), slice(SIDE, None))]).astype(np.float32)
-        seen = self.e[around] * share[:, :, None]
-        x, h = self.hidden(seen[:, :SIDE].sum(axis=1), seen[:, SIDE:].sum(axis=1))
-        cls, inside = words // CLASSES, words % CLASSES
+    def step(self, line: np.ndarray, at: np.ndarray) -> None:
+        """One Adagrad step on places ``at`` of a line of ids, each with ``SIDE`` places on either side; the pad id has a zero row."""
+        n = len(at)
+        at = at[np.argsort((line[at] // CLASSES).astype(np.int16), kind="stable")]
+        cls, inside = line[at] // CLASSES, line[at] % CLASSES
+        left, right = at - SIDE, at + 1  # windows on either side
+        there = np.maximum(1, windows((line != VOCABULARY).astype(np.float32)))[:, None]
+        around = windows(self.e.take(line, axis=0)) / there
+        x, h = self.hidden(around.take(left, axis=0), around.take(right, axis=0))
         d = _softmax(h @ self.c + self.cb)
         d[np.arange(n), cls] -= 1
         d /= n
         dh = d @ self.c.T
-        grads = {"c": h.T @ d, "cb": d.sum(axis=0)}
-        order = np.argsort(cls, kind="stable")
-        stops = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-        for k in range(CLASSES):
-            rows = order[stops[k] : stops[k + 1]]
-            if len(rows):
-                d = _softmax(h[rows] @ self.o[k] + self.ob[k])
-                d[np.arange(len(rows)), inside[rows]] -= 1
-                d /= n
-                dh[rows] += d @ self.o[k].T
-                self._move("o", h[rows].T @ d, k)
-                self._move("ob", d.sum(axis=0), k)
+        grads = {"c": h.T @ d, "cb": np.ones(n, np.float32) @ d}
+        d = _softmax(self.within(h, cls))
+        d[np.arange(n), inside] -= 1
+        d /= n
+        seen = list(_runs(cls))
+        here = [k for k, _ in seen]
+        o = np.empty((len(seen), SIZE, CLASSES), np.float32)
+        for j, (k, rows) in enumerate(seen):
+            np.matmul(h[rows].T, d[rows], out=o[j])
+            dh[rows] += d[rows] @ self.o[k].T
+        every = slice(None) if len(here) == CLASSES else here
+        self._move("o", o, every)
+        self._move("ob", np.add.reduceat(d, [rows.start for _, rows in seen]), every)
         dz = dh * (1 - h * h)
         grads |= {"a": x.T @ dz, "b": dz.sum(axis=0)}
         dx = dz @ self.a.T
         for name, grad in grads.items():
             self._move(name, grad, slice(None))
-        spread = np.hstack([np.repeat(dx[:, None, :SIZE], SIDE, axis=1), np.repeat(dx[:, None, SIZE:], SIDE, axis=1)]) * share[:, :, None]
-        order = np.argsort(around, axis=None, kind="stable")
-        flat = around.reshape(-1)[order]
-        first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
-        ids, total = flat[first], np.add.reduceat(spread.reshape(-1, SIZE)[order], first, axis=0)
+        # each window's share goes to the places it has, which are windows again
+        spread = np.zeros((len(line) + SIDE - 1, SIZE), np.float32)
+        spread[left + SIDE - 1] += dx[:, :SIZE] / there[left]
+        spread[right + SIDE - 1] += dx[:, SIZE:] / there[right]
+        places = (line[:, None] * np.int64(SIZE) + np.arange(SIZE)).ravel()
+        ids = np.flatnonzero(np.bincount(line))
+        total = np.bincount(places, windows(spread).ravel()).reshape(-1, SIZE)[ids].astype(np.float32)
         self.squares["e"][ids] += (total**2).mean(axis=1, keepdims=True)
         self.e[ids] -= RATE * total / np.sqrt(self.squares["e"][ids])
         self.e[VOCABULARY] = 0
@@ -153,9 +178,31 @@ class Network:
         getattr(self, name)[at] -= RATE * grad / np.sqrt(squares[at])
 
 
+#: Logits within this can be exponentiated as they are.
+CALM = 80
+
+
+def windows(rows: np.ndarray) -> np.ndarray:
+    """Row k is the sum of rows k to k + SIDE - 1."""
+    width = 1
+    while width < SIDE:
+        rows = rows[:-width] + rows[width:]
+        width *= 2
+    return rows
+
+
+def _runs(cls: np.ndarray):
+    """Classes that rows have, in order, and where their rows are."""
+    stops = np.searchsorted(cls, np.arange(CLASSES + 1)).tolist()
+    return ((k, slice(stops[k], stops[k + 1])) for k in range(CLASSES) if stops[k] < stops[k + 1])
+
+
 def _softmax(x: np.ndarray) -> np.ndarray:
-    x = np.exp(x - x.max(axis=1, keepdims=True))
-    return x / x.sum(axis=1, keepdims=True)
+    if max(x.max(), -x.min()) > CALM:
+        x = x - x.max(axis=1, keepdims=True)
+    np.exp(x, out=x)
+    x /= (x @ np.ones(x.shape[1], x.dtype))[:, None]
+    return x
 
 
 def _log_softmax_at(x: np.ndarray, at: np.ndarray, calm: bool = False) -> np.ndarray:
@@ -167,24 +214,21 @@ def _log_softmax_at(x: np.ndarray, at: np.ndarray, calm: bool = False) -> np.nda
 
 
 class Words(dict):
-    """Ids of words; those that are not in the vocabulary fall into buckets by their hash, kept up to a bound."""
+    """Ids of words; those that are not in the vocabulary fall into buckets by their hash."""
 
-    def __missing__(self, word: bytes) -> int:
-        found = VOCABULARY - BUCKETS + crc32(word) % BUCKETS
-        if len(self) < KEPT_WORDS:
-            self[word] = found
+    def of(self, words: list[bytes]) -> np.ndarray:
+        found = np.fromiter(map(self.get, words, repeat(-1)), np.int32, len(words))
+        (rare,) = np.nonzero(found < 0)
+        found[rare] = np.fromiter(map(crc32, map(words.__getitem__, rare.tolist())), np.int64, len(rare)) % BUCKETS + (VOCABULARY - BUCKETS)
         return found
 
 
-def padded_line(split: list[list[bytes]], ids: Words) -> tuple[np.ndarray, np.ndarray]:
+def padded_line(words: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Ids of the words of texts in one line, parted by pads so that every word has all places on either side; where words are."""
-    pad = [VOCABULARY] * SIDE
-    flat: list[int] = list(pad)
-    for words in split:
-        flat.extend(map(ids.__getitem__, words))
-        flat.extend(pad)
-    line = np.array(flat)
-    return line, np.flatnonzero(line != VOCABULARY)
+    at = np.arange(len(words)) + SIDE * np.repeat(np.arange(1, len(sizes) + 1), sizes)
+    line = np.full(len(words) + SIDE * (len(sizes) + 1), VOCABULARY, np.int32)
+    line[at] = words
+    return line, at
 
 
 def round_positions(draws: np.ndarray, round_: int, mask_rate: float) -> np.ndarray:
@@ -192,6 +236,14 @@ def round_positions(draws: np.ndarray, round_: int, mask_rate: float) -> np.ndar
     return np.flatnonzero((draws - round_ * mask_rate) % 1.0 < mask_rate)
 
 
+def _cut(line: np.ndarray, at: np.ndarray, stop: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """What lies around places of a line, up to ``stop`` if given, and where they are there."""
+    if not len(at):
+        return line[:0], at
+    start = at[0] - SIDE
+    return line[start : at[-1] + SIDE + 1 if stop is None else stop], at - start
+
+
 def _train(docs: DataFrame, text_col: str, ids: dict[bytes, int], flat: np.ndarray, round_: int, mask_rate: float, batch_size: int) -> np.ndarray:
     """The average of what all partitions make of the common weights."""
     spark = docs.sparkSession
@@ -206,23 +258,22 @@ def _train(docs: DataFrame, text_col: str, ids: dict[bytes, int], flat: np.ndarr
         known, flat = common.value
         known = Words(known)
         net, seen = Network(flat), 0
-        beside = np.r_[-SIDE:0, 1 : SIDE + 1]
-        around, middle = np.empty((0, 2 * SIDE), np.int64), np.empty(0, np.int64)
+        line, at = np.empty(0, np.int32), np.empty(0, np.int64)
         for batch in batches:
-            for run in chunks(batch.column(0).to_pylist(), 20_000):
-                split = [text.lower().split() for text in run]
-                line, at = padded_line(split, known)
-                draws = [np.random.default_rng((SEED, crc32(text))).random(len(words)) for text, words in zip(run, split, strict=True)]
-                at = at[round_positions(np.concatenate(draws), round_, mask_rate)]
-                around, middle = np.concatenate([around, line[at[:, None] + beside]]), np.concatenate([middle, line[at]])
-                done = len(middle) // batch_size * batch_size
+            for run in chunks(batch.column(0).to_pylist(), HELD_BYTES):
+                words, codes, sizes = tokens(run)
+                more, places = padded_line(known.of(words)[codes], sizes)
+                draws = [np.random.default_rng((SEED, crc32(text))).random(size) for text, size in zip(run, sizes, strict=True)]
+                places = places[round_positions(np.concatenate(draws), round_, mask_rate)]
+                line, at = np.concatenate([line, more]), np.concatenate([at, len(line) + places])
+                done = len(at) // batch_size * batch_size
                 for k in range(0, done, batch_size):
-                    net.step(around[k : k + batch_size], middle[k : k + batch_size])
+                    net.step(*_cut(line, at[k : k + batch_size]))
                 seen += done
-                around, middle = around[done:], middle[done:]
-        if len(middle):
-            net.step(around, middle)
-            seen += len(middle)
+                line, at = _cut(line, at[done:], len(line))
+        if len(at):
+            net.step(line, at)
+            seen += len(at)
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([seen], pa.int64()), pa.array([net.flat.tobytes()], pa.binary())], names=["part", "seen", "model"])
 
@@ -263,28 +314,24 @@ def fit(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS, mask_rate
     return ids, flat
 
 
+def _totals(net: Network, words: np.ndarray, sizes: np.ndarray) -> list[float]:
+    """Summed conditional log-probabilities of every text, of ids of words."""
+    line, at = padded_line(words, sizes)
+    each = [np.zeros(1)]
+    for k in range(0, len(at), SCORED):
+        part, here = _cut(line, at[k : k + SCORED])
+        around = windows(net.e.take(part, axis=0)) / np.maximum(1, windows((part != VOCABULARY).astype(np.float32)))[:, None]
+        _, h = net.hidden(around.take(here - SIDE, axis=0), around.take(here + 1, axis=0))
+        each.append(net.log_likelihood(h, part[here]))
+    sums = np.concatenate(each).cumsum()
+    ends = np.cumsum(sizes)
+    return (sums[ends] - sums[ends - sizes]).tolist()
+
+
 def document_scores(net: Network, ids: Words, texts: list[bytes]) -> tuple[list[int], list[float]]:
     """Words and summed conditional log-probabilities of every text."""
-    split = [text.lower().split() for text in texts]
-    sizes = [len(w) for w in split]
-    line, at = padded_line(split, ids)
-    if not len(at):
-        return sizes, [0.0] * len(texts)
-    rows, here = net.e[line], (line != VOCABULARY).astype(np.float32)
-    n = len(line) - 2 * SIDE  # texts are parted by pads, so every word has all of its places on either side
-    words = here[SIDE : SIDE + n] > 0
-    sides = []
-    for step in (-1, 1):
-        total, there = np.zeros((n, SIZE), np.float32), np.zeros(n, np.float32)
-        for k in range(1, SIDE + 1):
-            total += rows[SIDE + step * k : SIDE + step * k + n]
-            there += here[SIDE + step * k : SIDE + step * k + n]
-        sides.append(total[words] / np.maximum(1, there[words])[:, None])
-    _, h = net.hidden(*sides)
-    each = net.log_likelihood(h, line[at])
-    sums = np.concatenate([[0.0], each.cumsum()])
-    ends = np.cumsum(sizes)
-    return sizes, (sums[ends] - sums[ends - np.array(sizes)]).tolist()
+    words, codes, sizes = tokens(texts)
+    return sizes.tolist(), _totals(net, ids.of(words)[codes], sizes)
 
 
 def scored(batch: pa.RecordBatch, net: Network, top: dict[bytes, int], known: Words, limit: int = HELD_BYTES):
@@ -294,22 +341,14 @@ def scored(batch: pa.RecordBatch, net: Network, top: dict[bytes, int], known: Wo
     kind = pa.struct([("word", pa.binary()), ("k", pa.int64())])
     at = 0
     for part in chunks(batch.column(1).to_pylist(), limit):
-        n: list[int] = []
-        total: list[float] = []
-        words: list[bytes] = []
-        counts: list[int] = []
-        ends = [0]
-        for run in chunks(part, 60_000):
-            a, b = document_scores(net, known, run)
-            n += a
-            total += b
-        for text in part:
-            rare = Counter(w for w in text.lower().split() if w not in top)
-            words.extend(rare.keys())
-            counts.extend(rare.values())
-            ends.append(len(words))
-        pairs = pa.StructArray.from_arrays([pa.array(words, pa.binary()), pa.array(counts, pa.int64())], fields=list(kind))
-        yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), pa.array(n, pa.int64()), pa.array(total, pa.float64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)], names=["id", "n_words", "total", "rare"])
+        words, codes, sizes = tokens(part)
+        total = _totals(net, known.of(words)[codes], sizes)
+        rare = np.array([word not in top for word in words], bool)[codes]
+        # a number for each word of each text, in the order of texts and then of first use
+        pairs, k = np.unique((np.repeat(np.arange(len(part)), sizes) * len(words) + codes)[rare], return_counts=True)
+        ends = np.searchsorted(pairs, np.arange(len(part) + 1) * len(words))
+        counts = pa.StructArray.from_arrays([pa.array(words, pa.binary()).take(pa.array(pairs % max(1, len(words)))), pa.array(k, pa.int64())], fields=list(kind))
+        yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), pa.array(sizes, pa.int64()), pa.array(total, pa.float64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), counts)], names=["id", "n_words", "total", "rare"])
         at += len(part)
 
 
